@@ -35,5 +35,28 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(more)).mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op10_chat_format)}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.pii import KINDS, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.toxicity import THRESHOLD, held_out, score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "flagged")
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op6_toxicity, op8_html_extract, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
