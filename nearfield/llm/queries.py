@@ -35,12 +35,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(more)).mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def _count(spans: str, kind: str):
+    """How many spans are of a kind, as n_<kind>."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.pii import KINDS, find_pii
 
     found = find_pii(table(spark, sf_dir, "documents"))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count("base", k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
