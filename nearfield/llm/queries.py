@@ -49,6 +49,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [_count("base", k) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.toxicity import THRESHOLD, held_out, score_toxicity, train
 
@@ -63,5 +72,5 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op6_toxicity, op8_html_extract, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op6_toxicity, op8_html_extract, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
