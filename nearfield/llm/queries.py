@@ -58,6 +58,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.quality import measured
+
+    judged = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    counts = [F.col(f"__quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
+    return judged.select("doc_id", *counts, F.col("__kept").alias("kept"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.toxicity import THRESHOLD, held_out, score_toxicity, train
 
@@ -72,5 +80,5 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op6_toxicity, op8_html_extract, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op8_html_extract, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
