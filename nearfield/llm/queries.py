@@ -14,6 +14,26 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.line_dedup import without_boilerplate
+
+    out = without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__cut").alias("n_cut"), "text")
+
+
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') || (source IS NULL)::VARCHAR AS site, unnest(range(1, len(s) + 1)) AS place, unnest(s) AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, site, place, trim(line, ' ') AS line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+b AS (SELECT line, min((doc_id, place)) AS first FROM w GROUP BY line HAVING count(DISTINCT site) >= 3),
+c AS (SELECT doc_id, place FROM w JOIN b USING (line) WHERE (doc_id, place) <> first),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(c.place) AS n_cut, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (c.place IS NULL), '') AS text
+      FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.place = c.place GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_cut, 0) AS n_cut, k.text FROM documents d LEFT JOIN k USING (doc_id)
+""".replace("\\\\", "\\")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
@@ -80,5 +100,5 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op8_html_extract, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op8_html_extract, op9_line_dedup, op10_chat_format)}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
