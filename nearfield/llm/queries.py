@@ -31,7 +31,7 @@ c AS (SELECT doc_id, place FROM w JOIN b USING (line) WHERE (doc_id, place) <> f
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(c.place) AS n_cut, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (c.place IS NULL), '') AS text
       FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.place = c.place GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_cut, 0) AS n_cut, k.text FROM documents d LEFT JOIN k USING (doc_id)
-""".replace("\\\\", "\\")
+"""
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +94,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "flagged")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.near_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.html_extract import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op8_html_extract, op9_line_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op7_near_dedup, op8_html_extract, op9_line_dedup, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
