@@ -60,6 +60,13 @@ def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.sentencepiece_nbest import Vocabulary, encode
+
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Vocabulary.load())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "n_best", "exact")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.pii import KINDS, find_pii
 
@@ -107,5 +114,5 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op7_near_dedup, op8_html_extract, op9_line_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op7_near_dedup, op8_html_extract, op9_line_dedup, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
