@@ -15,7 +15,11 @@ kept by `keep_good`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from nearfield.llm.common import stored
 
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 20, 30, 8
 #: Highest false rejection of a rule in a stratum, and the chance of exceeding it anywhere.
@@ -102,8 +106,6 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def binomial_tail(x: Column, n: Column, p: float) -> Column:
     """P(X <= x) of n trials of chance p, summed exactly from its terms' logarithms; from the mean upwards, where it is about a half or more, simply 1."""
-    import math
-
     odds, first = math.log(p / (1 - p)), n * math.log1p(-p)
 
     def step(acc: Column, i: Column) -> Column:
@@ -124,11 +126,10 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     # good documents that pass the base; the base's own verdict is not the measured rules' doing
     tested = features(known).where("not __quality.base_failed").select("stratum", "quality", F.col("__quality.shares").alias("shares"), F.explode(grid).alias("g"))
     over = F.element_at("shares", F.col("g.rule")) >= F.col("g.cutoff")
-    counts = tested.groupBy("stratum", "g.rule", "g.cutoff").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count_if((F.col("quality") == 1) & over).alias("x"), F.count_if((F.col("quality") == 0) & over).alias("bad"))
-    strata = counts.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    tests = sum(map(len, GRIDS.values()))
-    judged = counts.join(F.broadcast(strata)).withColumn("tail", binomial_tail(F.col("x"), F.col("n"), alpha))  # strata: one row
-    safe = judged.where((F.col("tail") <= delta / (tests * F.col("strata"))) & (F.col("bad") > 0))
+    counts = stored(tested.groupBy("stratum", "g.rule", "g.cutoff").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count_if((F.col("quality") == 1) & over).alias("x"), F.count_if((F.col("quality") == 0) & over).alias("bad")), "counts")
+    tests = max(1, counts.count())  # strata times rules times cutoffs
+    judged = counts.withColumn("tail", binomial_tail(F.col("x"), F.col("n"), alpha))
+    safe = judged.where((F.col("tail") <= delta / tests) & (F.col("bad") > 0))
     return spark.createDataFrame([], "stratum string, rule string, cutoff double").unionByName(safe.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")))
 
 
@@ -138,8 +139,6 @@ BROADCAST_STRATA = 50_000
 
 def measured(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """docs with the struct column `__quality` (counts, base_failed) and the boolean column `__kept`."""
-    from nearfield.llm.common import stored
-
     chosen = stored(cutoffs(docs, labels, stratum).groupBy("stratum").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "cutoff")))).alias("__cuts")).withColumnRenamed("stratum", "__stratum"), "cutoffs")
     few = chosen.count() <= BROADCAST_STRATA
     judged = features(docs).join(F.broadcast(chosen) if few else chosen, F.coalesce(F.col(stratum), F.lit("")) == F.col("__stratum"), "left")
