@@ -1,8 +1,8 @@
 """The bounded self-join: pairs of points near in space and time, and what is counted of them.
 
-Two equi-keys carry the join: the cell of the first coordinates (cells as wide as the radius, the right side repeated
-into the neighbouring cells) and the epoch, a stretch of as many slides as a window has (the right side repeated into
-the neighbouring epochs). So a row is copied 3 * 3**d times whatever the window, and no nested-loop join is planned.
+Two equi-keys carry the join: the cell of the first coordinates (cells as wide as the radius, one side repeated into the
+neighbouring cells) and the epoch, a stretch of as many slides as a window has (one side repeated into the neighbouring
+epochs). So a row is copied 3 * 3**d times whatever the window, and no nested-loop join is planned.
 Pairs go straight into a histogram by (point, slide of the neighbour, radius), which is all that any query needs: its
 size is bounded by the slides and radii, not by the density.
 """
@@ -30,37 +30,37 @@ def _around(c: Column) -> Column:
     return F.explode(F.array(c - 1, c, c + 1))
 
 
-def keyed(points: DataFrame, radius: float, slides: int, step: int, kind: str, dims: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides of the join with their keys."""
+def keyed(points: DataFrame, radius: float, slides: int, step: int, kind: str, dims: int | None, spread: bool) -> tuple[DataFrame, list[str]]:
+    """points with sl (the slide's number) and the join's keys; spread: repeated into the neighbouring epochs and cells."""
     sl = F.floor(F.col("a") / step)
-    base = points.withColumn("sl", sl).withColumn("epoch", F.floor(sl / slides))
-    use = min(dims or 0, CELL_DIMS) if kind == "euclidean" and radius > 0 else 0
-    exact = min(dims or 0, CELL_DIMS) if kind == "euclidean" and radius == 0 else 0
-    names = [f"c{i}" for i in range(use + exact)]
-    left = right = base
-    for i in range(use):
-        left, right = left.withColumn(f"c{i}", _cell(i, radius)), right.withColumn(f"c{i}", _around(_cell(i, radius)))
-    for i in range(exact):  # only equal coordinates are near
-        left, right = (x.withColumn(f"c{i}", F.col("value")[i] + 0.0) for x in (left, right))
-    return left, right.withColumn("epoch", _around(F.col("epoch"))), ["epoch", *names]
-
-
-def neighbor_pairs(points: DataFrame, radius: float, window: int, step: int, kind: str = "euclidean", dims: int | None = None, left: DataFrame | None = None) -> DataFrame:
-    """id, a, sl, nid, na, nsl, d: every ordered pair of points within the radius and within one window's span of slides. left: the points whose neighbours are asked for, if not all."""
+    epoch = F.floor(F.floor(F.col("a") / step) / slides)
+    out = points.withColumn("sl", sl).withColumn("epoch", _around(epoch) if spread else epoch)
+    names = ["epoch"]
+    for i in range(min(dims or 0, CELL_DIMS) if kind == "euclidean" else 0):
+        # with no radius only equal coordinates are near
+        cell = _cell(i, radius) if radius > 0 else F.col("value")[i] + 0.0
+        out = out.withColumn(f"c{i}", _around(cell) if spread and radius > 0 else cell)
+        names.append(f"c{i}")
+    return out, names
+
+
+def neighbor_pairs(points: DataFrame, radius: float, window: int, step: int, kind: str = "euclidean", dims: int | None = None, left: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """id, a, sl, nid, na, nsl, d: every ordered pair of points within the radius and within one window's span of slides. left: the points whose neighbours are asked for, if not all; then they are the side that is repeated. within: further columns that must be equal, kept in the result."""
     slides = max(1, window // step)
-    own, other, keys = keyed(points, radius, slides, step, kind, dims)
-    if left is not None:
-        own = keyed(left, radius, slides, step, kind, dims)[0]
+    few = left is not None
+    own, keys = keyed(left if few else points, radius, slides, step, kind, dims, few)
+    other, _ = keyed(points, radius, slides, step, kind, dims, not few)
+    keys = [*within, *keys]
     right = other.select(F.col("id").alias("nid"), F.col("a").alias("na"), F.col("sl").alias("nsl"), F.col("value").alias("nvalue"), *keys)
     met = own.join(right, keys).where((F.col("id") != F.col("nid")) & (F.abs(F.col("sl") - F.col("nsl")) < slides))
     d = distance(F.col("value"), F.col("nvalue"), kind, dims)
     near = met.where(d <= radius)
-    return near.select("id", "a", "sl", "nid", "na", "nsl", d.alias("d"))
+    return near.select(*within, "id", "a", "sl", "nid", "na", "nsl", d.alias("d"))
 
 
-def histogram(pairs: DataFrame, radii: Sequence[float]) -> DataFrame:
+def histogram(pairs: DataFrame, radii: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
     """id, sl, nsl, layer, c: neighbours by slide and by the smallest radius that reaches them."""
-    return pairs.select("id", "sl", "nsl", layer(F.col("d"), radii).alias("layer")).groupBy("id", "sl", "nsl", "layer").agg(F.count("*").alias("c"))
+    return pairs.select(*within, "id", "sl", "nsl", layer(F.col("d"), radii).alias("layer")).groupBy(*within, "id", "sl", "nsl", "layer").agg(F.count("*").alias("c"))
 
 
 def cumulative_layers(hist: DataFrame) -> DataFrame:
@@ -150,10 +150,11 @@ def knn(queries: DataFrame, points: DataFrame, n: int, kind: str = "euclidean",
 
 def radius_lookup(queries: DataFrame, points: DataFrame, radius: float, dims: int) -> DataFrame:
     """id, nid: the points within the radius of each query, by cells."""
-    still = lambda df: keyed(df.withColumn("a", F.lit(0).cast("long")), radius, 1, 1, "euclidean", dims)
-    own, other = still(queries)[0], still(points)[1]
-    keys = [c for c in own.columns if c.startswith("c")]
-    right = other.where("epoch = 0").select(F.col("id").alias("nid"), F.col("value").alias("nvalue"), *keys)
+    still = F.lit(0).cast("long")
+    own, names = keyed(queries.withColumn("a", still), radius, 1, 1, "euclidean", dims, True)
+    other, _ = keyed(points.withColumn("a", still), radius, 1, 1, "euclidean", dims, False)
+    keys = names[1:]
+    own, right = own.where("epoch = 0"), other.select(F.col("id").alias("nid"), F.col("value").alias("nvalue"), *keys)
     d = distance(F.col("value"), F.col("nvalue"), "euclidean", dims)
     return own.join(right, keys).where((F.col("id") != F.col("nid")) & (d <= radius)).select("id", "nid")
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from nearfield.config import Query, checked, step_of
-from nearfield.operators.neighbors import histogram, neighbor_pairs
-from nearfield.operators.windows import ends_between
+from nearfield.operators.neighbors import cell_of, histogram, neighbor_pairs
+from nearfield.operators.windows import assign_windows, ends_between
 
 ANSWER = ["window_end", "W", "S", "R", "k", "id"]
 
@@ -17,23 +17,23 @@ def radii_of(queries: Sequence[Query]) -> list[float]:
     return sorted({q.R for q in queries})
 
 
-def neighbor_histogram(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None, left: DataFrame | None = None) -> DataFrame:
+def neighbor_histogram(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None, left: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Up to the largest radius and window."""
-    return histogram(neighbor_pairs(points, max(q.R for q in queries), max(q.W for q in queries), step_of(queries), kind, dims, left), radii_of(queries))
+    return histogram(neighbor_pairs(points, max(q.R for q in queries), max(q.W for q in queries), step_of(queries), kind, dims, left, within), radii_of(queries), within)
 
 
-def window_counts(points: DataFrame, hist: DataFrame, queries: Sequence[Query]) -> DataFrame:
+def window_counts(points: DataFrame, hist: DataFrame, queries: Sequence[Query], within: Sequence[str] = ()) -> DataFrame:
     """window_end, W, S, id, n0..: neighbours within each radius, of every point in every window it is in; points without any included."""
     step, radii = step_of(queries), radii_of(queries)
     sl = F.floor(F.col("a") / step)
-    alone = points.select("id", sl.alias("sl"), sl.alias("nsl"), F.lit(None).cast("int").alias("layer"), F.lit(0).cast("long").alias("c"))
+    alone = points.select(*within, "id", sl.alias("sl"), sl.alias("nsl"), F.lit(None).cast("int").alias("layer"), F.lit(0).cast("long").alias("c"))
     first, last = F.least("sl", "nsl") * step, F.greatest("sl", "nsl") * step
     spaces = sorted({(q.W, q.S) for q in queries})
-    rows = hist.select("id", "sl", "nsl", "layer", "c").unionByName(alone)
+    rows = hist.select(*within, "id", "sl", "nsl", "layer", "c").unionByName(alone)
     ends = [F.struct(F.lit(W).cast("long").alias("W"), F.lit(S).cast("long").alias("S"), ends_between(first, last, W, S).alias("ends")) for W, S in spaces]
-    dealt = rows.select("id", "layer", "c", F.explode(F.array(*ends)).alias("w")).select("id", "layer", "c", "w.W", "w.S", F.explode("w.ends").alias("window_end"))
-    within = [F.sum(F.when(F.col("layer") <= i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(len(radii))]
-    return dealt.groupBy("window_end", "W", "S", "id").agg(*within)
+    dealt = rows.select(*within, "id", "layer", "c", F.explode(F.array(*ends)).alias("w")).select(*within, "id", "layer", "c", "w.W", "w.S", F.explode("w.ends").alias("window_end"))
+    sums = [F.sum(F.when(F.col("layer") <= i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(len(radii))]
+    return dealt.groupBy("window_end", "W", "S", *within, "id").agg(*sums)
 
 
 def _asked(counts: DataFrame, queries: Sequence[Query]) -> DataFrame:
@@ -48,18 +48,51 @@ def outliers_of(counts: DataFrame, queries: Sequence[Query]) -> DataFrame:
     return _asked(counts, queries).where(F.col("n") < F.col("k")).select(*ANSWER)
 
 
-def report_of(counts: DataFrame, queries: Sequence[Query]) -> DataFrame:
-    """window_end, W, S, R, k, n_outliers, of every window that holds a point, zeros included; sums are partial before the shuffle."""
-    return _asked(counts, queries).groupBy("window_end", "W", "S", "R", "k").agg(F.count_if(F.col("n") < F.col("k")).alias("n_outliers"))
+def _dense(points: DataFrame, q: Query, dims: int, by_slide: bool) -> DataFrame:
+    """window_end, id of the points that stand in a dense cell: all inliers. by_slide: cells are counted once a slide, and slides summed up to windows."""
+    cells = [cell_of(i, q.R, dims).alias(f"c{i}") for i in range(dims)]
+    names = [f"c{i}" for i in range(dims)]
+    members = assign_windows(points, q.W, q.S).select("window_end", "id", *cells)
+    if by_slide:
+        sl = F.floor(F.col("a") / q.S)
+        slides = points.select(sl.alias("sl"), *cells).groupBy("sl", *names).agg(F.count("*").alias("c"))
+        ends = slides.withColumn("window_end", F.explode(ends_between(F.col("sl") * q.S, F.col("sl") * q.S, q.W, q.S)))
+        full = ends.groupBy("window_end", *names).agg(F.sum("c").alias("c"))
+    else:
+        full = members.groupBy("window_end", *names).agg(F.count("*").alias("c"))
+    return members.join(full.where(F.col("c") > q.k), ["window_end", *names], "left_semi").select("window_end", "id")
 
 
-def detect(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None) -> DataFrame:
-    """The outliers of all queries."""
+def _tightest(queries: Sequence[Query]) -> Query:
+    """The smallest radius and window with the largest count: dense for it is dense for all."""
+    return Query(min(q.W for q in queries), step_of(queries), min(q.R for q in queries), max(q.k for q in queries))
+
+
+def prunable(queries: Sequence[Query], kind: str, dims: int | None) -> bool:
+    return kind == "euclidean" and bool(dims) and dims <= 3 and min(q.R for q in queries) > 0
+
+
+def doubtful(points: DataFrame, queries: Sequence[Query], dims: int, by_slide: bool) -> DataFrame:
+    """The points with a window in which their cell is not dense: only their neighbours need counting."""
+    tight = _tightest(queries)
+    members = assign_windows(points.select("id", "a"), tight.W, tight.S).select("window_end", "id")
+    open_ = members.join(_dense(points, tight, dims, by_slide), ["window_end", "id"], "left_anti").select("id").distinct()
+    return points.join(open_, "id", "left_semi")
+
+
+def detect(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None, prune: bool = True) -> DataFrame:
+    """The outliers of all queries. prune: points that stand in dense cells in all their windows are not joined."""
     queries = checked(queries)
-    return outliers_of(window_counts(points, neighbor_histogram(points, queries, kind, dims), queries), queries)
+    left = doubtful(points, queries, dims, True) if prune and prunable(queries, kind, dims) else None
+    return outliers_of(window_counts(points if left is None else left, neighbor_histogram(points, queries, kind, dims, left), queries), queries)
 
 
 def report(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None) -> DataFrame:
-    """The counts of all queries and windows."""
+    """window_end, W, S, R, k, n_outliers, of every window that holds a point, zeros included."""
     queries = checked(queries)
-    return report_of(window_counts(points, neighbor_histogram(points, queries, kind, dims), queries), queries)
+    found = detect(points, queries, kind, dims).groupBy("window_end", "W", "S", "R", "k").agg(F.count("*").alias("n_outliers"))
+    step = step_of(queries)
+    slides = points.select((F.floor(F.col("a") / step) * step).alias("a")).distinct()
+    options = [F.struct(F.lit(q.W).cast("long").alias("W"), F.lit(q.S).cast("long").alias("S"), F.lit(float(q.R)).alias("R"), F.lit(q.k).alias("k"), ends_between(F.col("a"), F.col("a"), q.W, q.S).alias("ends")) for q in queries]
+    none = slides.select(F.explode(F.array(*options)).alias("q")).select(F.explode("q.ends").alias("window_end"), "q.W", "q.S", "q.R", "q.k", F.lit(0).cast("long").alias("n_outliers"))
+    return found.unionByName(none).groupBy("window_end", "W", "S", "R", "k").agg(F.sum("n_outliers").alias("n_outliers"))

@@ -9,9 +9,11 @@ from typing import Protocol
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from nearfield.config import Query
 from nearfield.functions.distance import distance
+from nearfield.operators.outliers import neighbor_histogram, window_counts
 from nearfield.operators.ranks import at_rank
-from nearfield.operators.windows import assign_windows, reportable
+from nearfield.operators.windows import reportable
 
 
 class Partitioner(Protocol):
@@ -191,9 +193,10 @@ def route_transition(points: DataFrame, old: Partitioner, new: Partitioner, radi
 def partitioned_outliers(routed: DataFrame, W: int, S: int, R: float, k: int, kind: str = "euclidean", dims: int | None = None) -> DataFrame:
     """window_end, id of the outliers, each found within its owner's partition alone. routed: id, value, a, part, flag[, countdown]."""
     countdown = F.col("countdown") if "countdown" in routed.columns else F.lit(-1).cast("long")
-    members = assign_windows(routed.withColumn("countdown", countdown), W, S)
-    reports = members.where(reportable(F.col("flag"), F.col("countdown"), F.col("window_end")))
-    others = members.select("window_end", "part", F.col("id").alias("nid"), F.col("value").alias("nvalue"))
-    near = distance(F.col("value"), F.col("nvalue"), kind, dims) <= R
-    found = reports.join(others, ["window_end", "part"]).where((F.col("id") != F.col("nid")) & near).groupBy("window_end", "id").agg(F.count("*").alias("n"))
-    return reports.select("window_end", "id").join(found, ["window_end", "id"], "left").where(F.coalesce("n", F.lit(0)) < k).select("window_end", "id")
+    copies = routed.withColumn("countdown", countdown)
+    # a copy that only ever serves as a neighbour needs no counts
+    left = copies.where((F.col("flag") == 0) | (F.col("countdown") >= 0))
+    query = [Query(W, S, R, k)]
+    counts = window_counts(left, neighbor_histogram(copies, query, kind, dims, left, ["part"]), query, ["part"]).where(F.col("n0") < k)
+    told = left.select("id", "part", "flag", "countdown")
+    return counts.join(told, ["id", "part"]).where(reportable(F.col("flag"), F.col("countdown"), F.col("window_end"))).select("window_end", "id")

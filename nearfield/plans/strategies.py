@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from nearfield.config import ALGORITHMS, Query, checked, step_of
-from nearfield.operators.neighbors import cell_of, histogram, neighbor_pairs
-from nearfield.operators.outliers import ANSWER, neighbor_histogram, outliers_of, radii_of, window_counts
+from nearfield.operators.neighbors import histogram, neighbor_pairs
+from nearfield.operators.outliers import ANSWER, doubtful, neighbor_histogram, outliers_of, prunable, radii_of, window_counts
 from nearfield.operators.windows import assign_windows, ends_between
 
 Strategy = Callable[[DataFrame, Sequence[Query], str, int | None], DataFrame]
@@ -61,43 +61,11 @@ def slide_ranges(points: DataFrame, queries: Sequence[Query], kind: str, dims: i
     return _answer(rows.withColumn("n", F.sum("c").over(frame)).where(F.col("window_end").isNotNull() & (F.col("n") < q.k)), q)
 
 
-def _dense(points: DataFrame, q: Query, dims: int, by_slide: bool) -> DataFrame:
-    """window_end, id of the points that stand in a dense cell: all inliers. by_slide: cells are counted once a slide, and slides summed up to windows."""
-    cells = [cell_of(i, q.R, dims).alias(f"c{i}") for i in range(dims)]
-    names = [f"c{i}" for i in range(dims)]
-    members = assign_windows(points, q.W, q.S).select("window_end", "id", *cells)
-    if by_slide:
-        sl = F.floor(F.col("a") / q.S)
-        slides = points.select(sl.alias("sl"), *cells).groupBy("sl", *names).agg(F.count("*").alias("c"))
-        ends = slides.withColumn("window_end", F.explode(ends_between(F.col("sl") * q.S, F.col("sl") * q.S, q.W, q.S)))
-        full = ends.groupBy("window_end", *names).agg(F.sum("c").alias("c"))
-    else:
-        full = members.groupBy("window_end", *names).agg(F.count("*").alias("c"))
-    return members.join(full.where(F.col("c") > q.k), ["window_end", *names], "left_semi").select("window_end", "id")
-
-
-def _tightest(queries: Sequence[Query]) -> Query:
-    """The smallest radius and window with the largest count: dense for it is dense for all."""
-    return Query(min(q.W for q in queries), step_of(queries), min(q.R for q in queries), max(q.k for q in queries))
-
-
-def _prunable(queries: Sequence[Query], kind: str, dims: int | None) -> bool:
-    return kind == "euclidean" and bool(dims) and dims <= 3 and min(q.R for q in queries) > 0
-
-
-def _doubtful(points: DataFrame, queries: Sequence[Query], dims: int, by_slide: bool) -> DataFrame:
-    """Points with a window in which their cell is not dense: only their neighbours need counting."""
-    tight = _tightest(queries)
-    members = assign_windows(points.select("id", "a"), tight.W, tight.S).select("window_end", "id")
-    open_ = members.join(_dense(points, tight, dims, by_slide), ["window_end", "id"], "left_anti").select("id").distinct()
-    return points.join(open_, "id", "left_semi")
-
-
 def _clustered(by_slide: bool) -> Strategy:
     def run(points: DataFrame, queries: Sequence[Query], kind: str, dims: int | None) -> DataFrame:
-        if not _prunable(queries, kind, dims):
+        if not prunable(queries, kind, dims):
             return outliers_of(window_counts(points, neighbor_histogram(points, queries, kind, dims), queries), queries)
-        left = _doubtful(points, queries, dims, by_slide)
+        left = doubtful(points, queries, dims, by_slide)
         return outliers_of(window_counts(left, neighbor_histogram(points, queries, kind, dims, left), queries), queries)
 
     run.__doc__ = "Cells whose diagonal is within the radius and that hold more than k points of a window make inliers of them all: such points are never a left side of the join."
@@ -133,7 +101,7 @@ def _capped_counts(points: DataFrame, queries: Sequence[Query], kind: str, dims:
 
 def _layered(skyband: bool, clusters: bool) -> Strategy:
     def run(points: DataFrame, queries: Sequence[Query], kind: str, dims: int | None) -> DataFrame:
-        left = _doubtful(points, queries, dims, False) if clusters and _prunable(queries, kind, dims) else None
+        left = doubtful(points, queries, dims, False) if clusters and prunable(queries, kind, dims) else None
         return outliers_of(_capped_counts(points, queries, kind, dims, skyband, left), queries)
 
     return run
