@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -49,8 +50,6 @@ def detect_stream(points: DataFrame, queries: Sequence[Query], partitioner: Part
     radius, span, step = max(q.R for q in queries), max(q.W for q in queries), step_of(queries)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pickle
-
         held = pickle.loads(state.get[0]) if state.exists else None
         done = state.get[1] if state.exists else None
         new = [b for b in batches]
@@ -66,11 +65,18 @@ def detect_stream(points: DataFrame, queries: Sequence[Query], partitioner: Part
             done = end
             end += step
         keep = times >= (done if done is not None else first - step) - span + step
-        state.update((pickle.dumps((ids[keep], values[keep], times[keep], flags[keep])), done if done is not None else first - step))
-        yield pd.DataFrame(out, columns=["window_end", "W", "S", "R", "k", "n_outliers", "ids"])
+        if keep.any():
+            last = done if done is not None else first - step
+            state.update((pickle.dumps((ids[keep], values[keep], times[keep], flags[keep])), last))
+            # a partition without new points is called when the watermark passes the next end
+            state.setTimeoutTimestamp(max(-(-(last + step) // per_ms), state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["window_end", "W", "S", "R", "k", "n_outliers", "ids"])
 
     routed = route(points.withWatermark("ts", lateness), partitioner, radius)
-    return routed.groupBy("part").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return routed.groupBy("part").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sink: Callable[[DataFrame, int], None], checkpoint: str, late: int = 0, kind: str = "euclidean", dims: int | None = None, router: AdaptiveRouter | None = None) -> None:
