@@ -24,7 +24,7 @@ _CHUNK = 4096
 class Words(dict):
     """Word to hash; emptied when it has grown to a bound."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

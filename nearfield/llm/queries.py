@@ -11,7 +11,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.decontaminate import contaminated, find_contamination
 
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,21 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+_WORDS = r"regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+')"
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS i, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT i, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT i, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT n FROM g),
+p AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n),
+m AS (SELECT r, k, p.n, i FROM (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM p) p JOIN g USING (n, g)),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS x FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, i FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.secrets import find_secrets
 
@@ -114,5 +129,17 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size + length(role) + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op7_near_dedup, op8_html_extract, op9_line_dedup, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

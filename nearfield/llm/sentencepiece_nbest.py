@@ -37,7 +37,12 @@ META = "▁"
 #: Segments up to this length are searched side by side; longer ones alone.
 SHORT = 40
 #: Segments remembered by a task, at most.
-MOST = 400_000
+MOST = 250_000
+
+
+def _grain(score: float) -> float:
+    """To multiples of 2**-16: sums of such numbers are exact in any order, so equal scores compare as equal."""
+    return round(score * 65536) / 65536
 
 
 class Vocabulary:
@@ -51,7 +56,7 @@ class Vocabulary:
         else:
             score_of = float
         self.text = [p.replace(META, " ") for p in pieces]
-        self.score = [score_of(s) if plain[k] else 0.0 for k, s in enumerate(scores)]
+        self.score = [_grain(score_of(s)) if plain[k] else 0.0 for k, s in enumerate(scores)]
         self.ids = {self.text[k]: k for k in range(n) if plain[k]}
         self.bytes_at = bytes_at
         least = min((self.score[k] for k in range(n) if plain[k]), default=0.0)
@@ -129,9 +134,10 @@ class Vocabulary:
         for j in range(1, len(s) + 1):
             best[j] = max(best[i] + w for i, w, _ in into[j])
         out, count = [], 0
-        agenda = [(-best[-1], 0, len(s), 0.0, None)]  # score of the whole, order, node, score of the part behind it, the part
+        # score of the whole, node, order, score of the part behind the node, the part; of equal scores the one nearest to the start goes on
+        agenda = [(-best[-1], len(s), 0, 0.0, None)]
         while agenda and len(out) < n:
-            _, _, node, behind, part = heapq.heappop(agenda)
+            _, node, _, behind, part = heapq.heappop(agenda)
             if node == 0:
                 ids: list[int] = []
                 while part:
@@ -141,7 +147,7 @@ class Vocabulary:
                 continue
             for i, w, ids in into[node]:
                 count += 1
-                heapq.heappush(agenda, (-(best[i] + w + behind), count, i, w + behind, (ids, part)))
+                heapq.heappush(agenda, (-(best[i] + w + behind), i, count, w + behind, (ids, part)))
         return out
 
     # --- many segments side by side ----------------------------------------------------------------------------------
@@ -281,16 +287,16 @@ class Encoder:
             choices.append(self.few[parts[k]])
         # backward over the chosen segments; what lies before costs nothing more at best
         out, count = [], 0
-        agenda: list[tuple[float, int, int, tuple[int, ...]]] = [(0.0, 0, len(choices), ())]
+        agenda: list[tuple[float, int, int, tuple[int, ...]]] = [(0.0, len(choices), 0, ())]
         while agenda and len(out) < self.n:
-            lost, _, k, picks = heapq.heappop(agenda)
+            lost, k, _, picks = heapq.heappop(agenda)
             if k == 0:
                 changes = [(int(places[able[i]]), len(choices[i][0][1]), choices[i][p][1]) for i, p in enumerate(picks) if p]
                 out.append((lost, changes))
                 continue
             for p, (score, _) in enumerate(choices[k - 1]):
                 count += 1
-                heapq.heappush(agenda, (lost + choices[k - 1][0][0] - score, count, k - 1, (p, *picks)))
+                heapq.heappush(agenda, (lost + choices[k - 1][0][0] - score, k - 1, count, (p, *picks)))
         return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, list] | None]:
