@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -79,12 +80,21 @@ def detect_stream(points: DataFrame, queries: Sequence[Query], partitioner: Part
     return routed.groupBy("part").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sink: Callable[[DataFrame, int], None], checkpoint: str, late: int = 0, kind: str = "euclidean", dims: int | None = None, router: AdaptiveRouter | None = None) -> None:
-    """Runs a stream of points to its end by micro-batches: points are appended to a store in slides; each window whose end the data has passed by the lateness is detected from the store, by the same plan as in batch, and handed to the sink once. What is kept of the stream between batches is the number of the last window, in the store beside the points, so a restart goes on where it was."""
+def _progress(spark: SparkSession, path: str) -> dict[str, int | None]:
+    """The last window that was answered and the latest time seen, as the last batch left them."""
+    try:
+        row = spark.read.schema("number long, done long, seen long").parquet(path).agg(F.max("done").alias("done"), F.max("seen").alias("seen")).first()
+    except AnalysisException:  # the first start
+        return {"done": None, "seen": None}
+    return {"done": row["done"], "seen": row["seen"]}
+
+
+def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sink: Callable[[DataFrame, int], None], checkpoint: str, late: int = 0, kind: str = "euclidean", dims: int | None = None, router: AdaptiveRouter | None = None, last: bool = True) -> None:
+    """Runs a stream of points to its end by micro-batches: points are appended to a store in slides; each window whose end the data has passed by the lateness is detected from the store, by the same plan as in batch, and handed to the sink once. How far it has come is written beside the points after each batch, so a restart goes on from there; a batch that is run again writes its points and its answers over the old ones."""
     queries = checked(queries)
     step, span = step_of(queries), max(q.W for q in queries)
     store = f"{checkpoint}/points"
-    progress = {"done": None, "seen": None}
+    progress = _progress(spark, f"{checkpoint}/progress")
 
     def batch(df: DataFrame, number: int) -> None:
         df.withColumn("slide", F.floor(F.col("a") / step)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slide").parquet(f"{store}/batch={number}")
@@ -94,8 +104,8 @@ def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sin
         progress["seen"] = max(progress["seen"] if progress["seen"] is not None else bounds["high"], bounds["high"])
         if progress["done"] is None:
             progress["done"] = bounds["low"] // step * step
-        ready = (progress["seen"] - late) // step * step
-        flush(ready, number)
+        flush((progress["seen"] - late) // step * step, number)
+        spark.createDataFrame([(number, progress["done"], progress["seen"])], "number long, done long, seen long").coalesce(1).write.mode("append").parquet(f"{checkpoint}/progress")
 
     def flush(ready: int, number: int) -> None:
         low = progress["done"]
@@ -120,5 +130,5 @@ def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sin
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
-    if progress["seen"] is not None:
+    if last and progress["seen"] is not None:  # the windows still open end with the stream
         flush((progress["seen"] // step + span // step) * step, -1)
