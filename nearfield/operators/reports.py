@@ -59,3 +59,27 @@ def latest(costs: DataFrame) -> DataFrame:
     """part, cost of the newest window: what a key-value store with one key would hold."""
     newest = costs.agg(F.max("window_end").alias("window_end"))
     return costs.join(F.broadcast(newest), "window_end").select("part", "cost")  # one row
+
+
+def to_queue(lines: DataFrame, servers: str, topic: str, checkpoint: str | None = None):
+    """Lines (one text column) to a message queue, in batch or, with a checkpoint folder, as a stream. Needs the connector's jar."""
+    values = lines.select(F.col(lines.columns[0]).alias("value"))
+    if checkpoint is None:
+        return values.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    return values.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+
+
+def to_console(lines: DataFrame):
+    """A stream of lines to the console."""
+    return lines.writeStream.format("console").option("truncate", False).start()
+
+
+def keep_latest(stream: DataFrame, path: str, checkpoint: str):
+    """A stream of costs, of which the newest window's are kept in a folder: each batch that has any replaces them."""
+
+    def put(df: DataFrame, number: int) -> None:
+        newest = latest(df)
+        if newest.limit(1).count():
+            newest.write.mode("overwrite").parquet(path)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
