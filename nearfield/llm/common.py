@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table of the input folder, by any path Spark can read."""
@@ -31,6 +36,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which the worker, which later tasks use again, gives the memory it has freed back to the system."""
+
+    def then(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return then
+
+
 def hex_digest(text: str) -> str:
     """SHA-256 as lower-case hex digits."""
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()

@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from nearfield.llm.common import Batches, released
+
 WINDOW = 13
 #: Words of an automaton: about 150 MB in an executor's Python worker.
 BLOCK_WORDS = 200_000
@@ -177,16 +180,32 @@ _RUNS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, n_hit, longest (match, in words), item_ids (sorted strings) and hits (runs of hit words, by number, end exclusive)."""
+    return _passes(docs, benchmark, window, block_words)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, then: Callable[[Batches], Batches] | None = None, result: T.StructType | None = None) -> DataFrame:
+    """A pass for each block of items; the last one hands its batches to then, in the same worker, which makes the result's columns of them."""
     kept = [f for f in docs.schema.fields if f.name not in FOUND]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hits", _RUNS)])
     names = [f.name for f in kept]
-    out = docs.select(*names)
-    for k, block in enumerate(item_blocks(benchmark, block_words, window)):
-        items = out.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_pass(items, window, names, k == 0), schema)
+    out, first = docs.select(*names), True
+    blocks = item_blocks(benchmark, block_words, window)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        run = _pass(out.sparkSession.sparkContext.broadcast(block), window, names, first)
+        if then and following is None:
+            out = out.mapInArrow(released(_chain(run, then)), result)
+        else:
+            out = out.mapInArrow(released(run), schema)
+        block, first = following, False
     return out
 
 
+def _chain(run: Callable[[Batches], Batches], then: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    return lambda batches: then(run(batches))
+
+
 def _pass(items, window: int, names: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(items.value, window)
@@ -228,27 +247,23 @@ def without_runs(text: str, runs: list[dict]) -> str:
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs, in which contaminated documents lose the hit spans (again where the cut makes new ones); those with over half of their words hit go. Others are left as they are. n_chars, if there, is brought up to date."""
+    """docs, in which contaminated documents lose the hit spans (once: what only meets across a cut is not looked for); those with over half of their words hit go. Others are left as they are, as are columns named like an output. n_chars, if there, is brought up to date."""
     columns = docs.columns
-    current = docs
-    found = find_contamination(current, benchmark, window, block_words)
-    verdict = contaminated()
-    drop = F.col("n_hit") > DROP_COVERAGE * F.col("n_words")
-    kept = found.where(~(verdict & drop)).withColumn("hits", F.when(verdict, F.col("hits")))
-    schema = kept.select(*columns).schema
-    has_size = "n_chars" in columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = {c: f"__own_{c}" for c in columns if c in FOUND}
+
+    def cut(batches: Batches) -> Batches:
         for b in batches:
-            hits = b.column("hits").to_pylist()
-            arrays = {n: b.column(n) for n in columns}
-            if any(hits):
-                texts = b.column("text").to_pylist()
-                texts = [without_runs(t, r) if r else t for t, r in zip(texts, hits, strict=True)]
-                arrays["text"] = pa.array(texts, arrays["text"].type)
-                if has_size:
-                    sizes = [len(t) if r else n for t, r, n in zip(texts, hits, arrays["n_chars"].to_pylist(), strict=True)]
-                    arrays["n_chars"] = pa.array(sizes, arrays["n_chars"].type)
+            n_hit, n_words = (b.column(c).to_numpy() for c in ("n_hit", "n_words"))
+            dirty = (n_hit > 0) & (n_hit * 20 >= n_words)
+            stays = ~(dirty & (n_hit > DROP_COVERAGE * n_words))
+            b, dirty = b.filter(pa.array(stays)), dirty[stays]
+            arrays = {n: b.column(own.get(n, n)) for n in columns}
+            if dirty.any():
+                text, mask = arrays["text"], pa.array(dirty)
+                texts = [without_runs(text[k].as_py(), b.column("hits")[k].as_py()) for k in np.flatnonzero(dirty).tolist()]
+                arrays["text"] = pc.replace_with_mask(text, mask, pa.array(texts, text.type))
+                if "n_chars" in arrays:
+                    arrays["n_chars"] = pc.replace_with_mask(arrays["n_chars"], mask, pa.array([len(t) for t in texts], arrays["n_chars"].type))
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=columns)
 
-    return kept.mapInArrow(cut, schema)
+    return _passes(docs.withColumnsRenamed(own), benchmark, window, block_words, cut, docs.schema)

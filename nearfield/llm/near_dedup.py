@@ -25,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from nearfield.llm.common import stored
+from nearfield.llm.common import released, stored
 from nearfield.llm.minhash import Words, bands, fingerprint, shingles, signature
 
 #: Linked from this share of the union upwards, in hundredths.
 LIMIT = 85
 #: Classes of a block; two blocks meet in a task.
 BLOCK = 256
+#: Sets that a worker holds before it passes them on.
+SLICE = 500
 #: Rows of two or three numbers that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -57,7 +59,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "node", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, bands array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, row long, n_shingles long, node long, bands array<long>")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -73,13 +75,13 @@ def shingle_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for b in batches:
+        for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
             texts = b.column("text").cast(pa.binary())
             sets = [shingles(t.as_py() or b"", known).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     texts = docs.select(F.xxhash64(F.col("doc_id"), "text").alias("row"), "text").join(small(rows), "row")
-    return stored(texts.select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    return stored(texts.select("node", "text").mapInArrow(released(run), "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def block_links(held: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFra
         yield _pairs(_unit_links(held))
 
     dealt = units.repartition("unit").sortWithinPartitions("unit")
-    return dealt.select("unit", "node", "root", "own", "same", "set").mapInArrow(run, "a long, b long")
+    return dealt.select("unit", "node", "root", "own", "same", "set").mapInArrow(released(run), "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
