@@ -24,8 +24,6 @@ from nearfield.llm.common import stored
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 20, 30, 8
 #: Highest false rejection of a rule in a stratum, and the chance of exceeding it anywhere.
 ALPHA, DELTA = 0.005, 0.05
-#: Labelled documents that the cutoffs are chosen on: the first by a hash of their ids. The bound does not grow.
-CALIBRATION_ROWS = 20_000
 #: Rules: a feature is rejected from its cutoff upwards. Grids from lax to strict.
 GRIDS = {
     "symbol_share": [0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02],
@@ -117,14 +115,15 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
     return F.when(x >= n * p, F.lit(1.0)).otherwise(F.aggregate(terms, start, step, lambda acc: acc["total"]))
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """stratum, rule, cutoff: the strictest safe cutoff of each rule in each stratum."""
+def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, rule, cutoff: the strictest safe cutoff of each rule in each stratum, on all labelled documents."""
     spark = docs.sparkSession
-    picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    known = docs.select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).join(F.broadcast(picked), "doc_id")  # CALIBRATION_ROWS rows of two numbers at most
+    picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = docs.where("doc_id is not null").select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))
+    # good documents that pass the base; the base's own verdict is not the measured rules' doing. Labels grow with the documents: both are shuffled, but not the texts
+    passed = features(known).where("not __quality.base_failed").select("doc_id", "stratum", F.col("__quality.shares").alias("shares")).join(picked, "doc_id")
     grid = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff")) for rule, cuts in GRIDS.items() for c in cuts))
-    # good documents that pass the base; the base's own verdict is not the measured rules' doing
-    tested = features(known).where("not __quality.base_failed").select("stratum", "quality", F.col("__quality.shares").alias("shares"), F.explode(grid).alias("g"))
+    tested = passed.select("stratum", "quality", "shares", F.explode(grid).alias("g"))
     over = F.element_at("shares", F.col("g.rule")) >= F.col("g.cutoff")
     counts = stored(tested.groupBy("stratum", "g.rule", "g.cutoff").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count_if((F.col("quality") == 1) & over).alias("x"), F.count_if((F.col("quality") == 0) & over).alias("bad")), "counts")
     tests = max(1, counts.count())  # strata times rules times cutoffs

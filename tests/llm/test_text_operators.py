@@ -228,6 +228,16 @@ def test_quality_keeps_the_good(spark):
     assert keep_good(d.withColumn("n_words", F.lit(1)).limit(5), none).columns == [*d.columns, "n_words"]
 
 
+def test_quality_counts_all_labels(spark):
+    """A stratum of a twentieth of 32,000 labelled rows has cutoffs: in 20,000 of them it would have too few good ones."""
+    from nearfield.llm.quality import cutoffs
+
+    word = "translate(substr(md5(concat(id, '-', x)), 1, 7), '0123456789', 'ghijklmnop')"
+    rows = spark.range(32_000).selectExpr("id as doc_id", "if(id % 20 = 7, 'es', 'en') as lang", "int(id >= 400) as quality", f"array_join(transform(sequence(1, 24), x -> concat({word}, if(id < 400, '##', ''))), ' ') as text")
+    got = {(r["stratum"], r["rule"]) for r in cutoffs(rows.drop("quality"), rows.select("doc_id", "quality")).collect()}
+    assert {("en", "symbol_share"), ("es", "symbol_share")} <= got
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
