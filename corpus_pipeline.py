@@ -16,6 +16,10 @@ from nearfield.llm.quality import keep_good
 from nearfield.llm.sentencepiece_nbest import Vocabulary, encode
 
 
+#: Limit of the near-dedup stage on five-word shingles, in hundredths.
+NEAR = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
@@ -27,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return keep_one(docs)
+    """One document of each group stays; groups are linked from NEAR hundredths of the union upwards."""
+    return keep_one(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,6 @@ def signature(own: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    """A hash for each band of ROWS values; equal bands of two signatures give equal hashes."""
-    return mixed((mixed(sig).reshape(BANDS, ROWS) * _BAND).sum(1, dtype=np.uint64)).view(np.int64)
+def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A hash for each band of so many values (a divisor of the signature's length); equal bands of two signatures give equal hashes."""
+    return mixed((mixed(sig).reshape(-1, rows) * _BAND.reshape(-1, rows)).sum(1, dtype=np.uint64)).view(np.int64)

@@ -8,8 +8,9 @@ finished exactly: they are cut into blocks of bounded size, and each two blocks
 intersections by an inverted list and returns the links that join components, at most one less than it has classes.
 Components come from repeated contraction of the link graph; the driver sees counts only.
 
-A pair at the limit is in no common bucket with a chance of (1 - 0.85**ROWS)**BANDS, about 1 in 120,000; more alike
-pairs are missed less. Classes and shingles are known by 64-bit hashes.
+The limit is a parameter, and sets the bands. A pair at the limit is in no common bucket with a chance of
+(1 - limit**rows)**bands: about 1 in 120,000 at 0.85 with 20 bands of 5, 1 in 530,000 at 0.80 with 25 of 4; more
+alike pairs are missed less. Classes and shingles are known by 64-bit hashes.
 
 Defined cases: a null or empty text, or one of spaces, has the empty set and is linked with nothing: its component is
 its own id; documents without an id are linked as others are, and a component of such alone has a null id and is kept;
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from nearfield.llm.common import released, stored
-from nearfield.llm.minhash import Words, bands, fingerprint, shingles, signature
+from nearfield.llm.minhash import ROWS, Words, bands, fingerprint, shingles, signature
 
-#: Linked from this share of the union upwards, in hundredths.
+#: Linked from this share of the union upwards, in hundredths, if the caller names no other.
 LIMIT = 85
+#: Rows of a band below a limit of 85: more and shorter bands of the same signature.
+SHORT_ROWS = 4
 #: Classes of a block; two blocks meet in a task.
 BLOCK = 256
 #: Sets that a worker holds before it passes them on.
@@ -43,8 +46,9 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, row (a hash of the row's id and text), n_shingles, node (of the class; null for empty sets), bands."""
+    width = ROWS if limit >= LIMIT else SHORT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -55,7 +59,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 own = shingles(texts[k].as_py() or b"", known)
                 sizes.append(len(own))
                 nodes.append(int.from_bytes(fingerprint(own)[:8], "little", signed=True) if len(own) else None)
-                marks.append(bands(signature(own)) if len(own) else None)
+                marks.append(bands(signature(own), width) if len(own) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "node", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
@@ -84,13 +88,13 @@ def shingle_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
     return stored(texts.select("node", "text").mapInArrow(released(run), "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The pairs (a, b) whose full sets pass the limit."""
     a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
     met = pairs.join(a, "a").join(b, "b")
     size, other, common = F.size("a_set"), F.size("b_set"), F.size(F.array_intersect("a_set", "b_set"))
-    able = 100 * F.least(size, other) >= LIMIT * F.greatest(size, other)
-    enough = F.when(able, 100 * common >= LIMIT * (size + other - common)).otherwise(False)
+    able = 100 * F.least(size, other) >= limit * F.greatest(size, other)
+    enough = F.when(able, 100 * common >= limit * (size + other - common)).otherwise(False)
     return met.where(enough).select("a", "b")
 
 
@@ -119,7 +123,7 @@ def unresolved(held: DataFrame, root_of: DataFrame) -> DataFrame:
     return rooted.join(kept, "band")
 
 
-def block_links(held: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_links(held: DataFrame, sets: DataFrame, block: int = BLOCK, limit: int = LIMIT) -> DataFrame:
     """a, b: links that join components within the buckets, each pair of blocks on its own. held: band, node, root, n."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node", "band"), blocks).cast("int")
@@ -135,11 +139,11 @@ def block_links(held: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFra
             out: list[tuple[int, int]] = []
             for row in zip(*(b.column(c).to_pylist() for c in ("unit", "node", "root", "own", "same")), b.column("set"), strict=True):
                 if row[0] != unit:
-                    out += _unit_links(held)
+                    out += _unit_links(held, limit)
                     held, unit = [], row[0]
                 held.append((*row[1:5], row[5].values.to_numpy()))
             yield _pairs(out)
-        yield _pairs(_unit_links(held))
+        yield _pairs(_unit_links(held, limit))
 
     dealt = units.repartition("unit").sortWithinPartitions("unit")
     return dealt.select("unit", "node", "root", "own", "same", "set").mapInArrow(released(run), "a long, b long")
@@ -149,7 +153,7 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _unit_links(held: list[tuple]) -> list[tuple[int, int]]:
+def _unit_links(held: list[tuple], limit: int = LIMIT) -> list[tuple[int, int]]:
     """Links between classes of different roots, as long as they join what is apart. held: (node, root, block, same, set)."""
     if len({r for _, r, *_ in held}) < 2:
         return []
@@ -178,7 +182,7 @@ def _unit_links(held: list[tuple]) -> list[tuple[int, int]]:
             continue
         mine = token[first[u] : first[u + 1]]
         common = np.bincount(np.concatenate([lists[begin[t] : begin[t + 1]] for t in mine]), minlength=len(held))
-        near = 100 * common >= LIMIT * (sizes[u] + sizes - common)
+        near = 100 * common >= limit * (sizes[u] + sizes - common)
         if not same:
             near &= block != own
         for v in np.flatnonzero(near):
@@ -189,17 +193,17 @@ def _unit_links(held: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_shingles, node, component_id of every row of docs (doc_id, text)."""
-    signed = stored(signatures(docs), "signed")
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, row, n_shingles, node, component_id of every row of docs (doc_id, text). limit: from 80 hundredths upwards."""
+    signed = stored(signatures(docs, limit), "signed")
     held = buckets(signed)
     pairs = stored(held.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     sets = shingle_sets(docs, signed, held.select("node").distinct())
-    links = stored(linked(pairs, sets), "links")
+    links = stored(linked(pairs, sets, limit), "links")
     root_of = roots(links)
     rest = stored(unresolved(held, root_of), "unresolved")
     if rest.limit(1).count():
-        more = stored(block_links(rest, sets), "more")
+        more = stored(block_links(rest, sets, limit=limit), "more")
         if more.limit(1).count():
             root_of = roots(links.union(more))
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
@@ -209,9 +213,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "row", "n_shingles", "node").join(of, "node", "left").select("doc_id", "row", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with one document of each component: that with the smallest id; of repeated rows one. Documents without words are each a component of their own."""
-    found = stored(near_duplicates(docs), "found")
+    found = stored(near_duplicates(docs, limit), "found")
     # one row of each component, told by its hash; documents without words go by their row
     key = F.coalesce(F.col("node"), F.col("row"))
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id"), F.when(F.col("node").isNull(), key).alias("z")).agg(F.min("row").alias("__row"), F.count("*").alias("n"))

@@ -78,6 +78,28 @@ def test_components_are_exact(spark, seed):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    """Pairs of 0.80 to 0.85 are one group in the pipeline's stage, and two in op7's limit; those below 0.80 stay apart."""
+    import corpus_pipeline
+    from nearfield.llm.near_dedup import keep_one
+
+    r = random.Random(11)
+    rows, near, far = [], 0, 0
+    for k in range(60):
+        words = prose(r, 104, 10**6).split()
+        changed = list(words)
+        # 100 shingles; two changed words apart lose 10, a third one to five more
+        for p in (20, 50) if k % 2 else (20, 50, 80):
+            changed[p] = f"y{k}"
+        a, b = sets_of(" ".join(words)), sets_of(" ".join(changed))
+        near, far = near + (0.8 <= len(a & b) / len(a | b) < 0.85), far + (len(a & b) / len(a | b) < 0.8)
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(changed), "s")]
+    assert (near, far) == (30, 30)
+    df = docs(spark, rows)
+    assert corpus_pipeline.near_dedup(spark, df, DATA).count() == 120 - near
+    assert keep_one(df).count() == 120
+
+
 def test_near_dedup_edges(spark):
     from nearfield.llm.near_dedup import keep_one, near_duplicates
 
