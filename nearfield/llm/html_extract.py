@@ -45,12 +45,15 @@ class _Lines(HTMLParser):
         self.chain: list[int] = []
         self.containers = 0
         self.articles = self.silent = self.furniture = self.tags = 0
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, bool]] = []  # text, whether it stands in furniture
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.furniture > 0, tuple(self.chain)))
+        """Ends a block. What stands in marked inline elements is dropped from it, and is a line of its own only where nothing else stands in the block."""
+        for furniture in (False, True):
+            text = " ".join("".join(t for t, marked in self.parts if marked == furniture).split())
+            if text:
+                self.lines.append((text, self.tags, furniture, tuple(self.chain)))
+                break
         self.parts.clear()
         self.tags = 0
 
@@ -61,7 +64,7 @@ class _Lines(HTMLParser):
                 self._close_implied(CLOSES[tag])
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self.furniture > 0))
         if tag in VOID:
             return
         silent = tag in SILENT
@@ -105,8 +108,6 @@ class _Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                if tag not in BLOCKS and not self.silent:
-                    self.flush()
                 while len(self.open) > k:
                     self._pop()
                 return
@@ -118,7 +119,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
-            self.parts.append(data)
+            self.parts.append((data, self.furniture > 0))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

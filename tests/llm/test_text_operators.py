@@ -307,6 +307,14 @@ def test_main_text():
     assert main_text(f"<body><div id=cookie-notice>ok?</div><main><p>{'word ' * 3000}</main>") == ("word " * 3000).strip()
 
 
+def test_marked_inline_elements():
+    """They take only what stands inside them."""
+    from nearfield.llm.html_extract import main_text
+
+    page = "<body><article><p>Real sentence <a class=share>x</a> more</p><p>See<sup class='ad'>1</sup> it</p><p><span id=related>all of it</span></p><p>Open <a role=search>y</p><p>Next</p></article></body>"
+    assert main_text(page) == "Real sentence more\nSee it\nOpen\nNext"
+
+
 def test_smoothing_keeps_constants():
     import numpy as np
 
