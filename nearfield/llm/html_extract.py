@@ -3,11 +3,12 @@
 The page is streamed through the standard library's parser. Its events cut it into lines, one for each block; a line
 has its text, the number of its tags, and the chain of containers it stands in. The ratios of text to tags are smoothed
 with a Gaussian and compared with a threshold at their mean less a part of their deviation; the lines above it are the
-cluster of content. The region is the innermost container that holds nearly all of that cluster's text: it is taken as a
+cluster of content. The region is the outermost article or main that holds nearly all of that cluster's text, or the
+page where none does: a div, section or cell may hold most of an article and not its heading or end. It is taken as a
 whole, so that short paragraphs at its edges stay, without the parts that are marked as furniture (menus, forms, adverts).
 
 Defined cases: a null or empty page has the empty text; broken markup (unclosed tags, cut pages) is closed where the next
-block begins or the page ends; a page without any marked container is judged as a whole; repeated rows are judged each
+block begins or the page ends; a page without an article or main is taken as a whole; repeated rows are judged each
 on its own; extra columns are ignored.
 """
 
@@ -43,7 +44,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.open: list[tuple[str, bool, bool]] = []  # name, silent, furniture
         self.chain: list[int] = []
-        self.containers = 0
+        self.containers: list[str] = []  # names, in order of opening
         self.articles = self.silent = self.furniture = self.tags = 0
         self.parts: list[tuple[str, bool]] = []  # text, whether it stands in furniture
 
@@ -75,8 +76,8 @@ class _Lines(HTMLParser):
             self.furniture += furniture
             self.articles += tag == "article"
             if tag in REGIONS:
-                self.containers += 1
-                self.chain.append(self.containers)
+                self.chain.append(len(self.containers))
+                self.containers.append(tag)
 
     def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "article", "main"):
@@ -130,8 +131,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[full] / np.convolve(np.ones(len(ratios)), kernel)[full]
 
 
-def content_lines(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[str]:
-    """The lines of the content region, in page order."""
+def content_lines(lines: list[tuple[str, int, bool, tuple[int, ...]]], containers: list[str]) -> list[str]:
+    """The lines of the content region, in page order. containers: names by the numbers of the chains."""
     sizes = np.array([0 if furniture else len(text) for text, _, furniture, _ in lines], float)
     if not sizes.any():
         return []
@@ -145,7 +146,7 @@ def content_lines(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[s
             for c in chain:
                 held[c] = held.get(c, 0) + size
     enough = NEARLY_ALL * sizes[cluster].sum()
-    region = max((c for c, size in held.items() if size >= enough), default=None)  # opened last: innermost
+    region = min((c for c, size in held.items() if containers[c] in ("article", "main") and size >= enough), default=None)  # opened first: outermost
     return [text for text, _, furniture, chain in lines if not furniture and (region is None or region in chain)]
 
 
@@ -157,7 +158,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return "\n".join(content_lines(parser.lines))
+    return "\n".join(content_lines(parser.lines, parser.containers))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -315,6 +315,24 @@ def test_marked_inline_elements():
     assert main_text(page) == "Real sentence more\nSee it\nOpen\nNext"
 
 
+def test_nested_containers():
+    """An inner container with nearly all of the text does not take the place of the article, or of the page."""
+    from nearfield.llm.html_extract import main_text
+
+    long = "word " * 400
+    text = f"T\nlead in\n{long.strip()}\nthe end"
+    for inner in ("section", "div", "td"):
+        body = f"<{inner}><p>{long}</p></{inner}>"
+        body = f"<table><tr>{body}</tr></table>" if inner == "td" else body
+        nested = f"<h1>T</h1><p>lead in</p>{body}<p>the end</p>"
+        assert main_text(f"<body><div>site</div><article>{nested}</article><div>bottom</div></body>") == text
+        assert main_text(f"<body><main><article>{nested}</article></main></body>") == text
+        assert main_text(f"<body><div><div>{nested}</div></div></body>") == text
+        assert main_text(f"<body>{nested}</body>") == text
+    parts = "".join(f"<section><p>{p}</p></section>" for p in ("a first part of some words", long, "a last part of some words"))
+    assert main_text(f"<body>{parts}</body>").count("part of some words") == 2
+
+
 def test_smoothing_keeps_constants():
     import numpy as np
 
