@@ -25,3 +25,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["window_end", "W", "S", "R", "k", "id"]
+
+
+def test_whole_table_of_lines(spark):
+    """Every row is a point, and outliers of the last years are reported."""
+    from nearfield.sources.points import line_points
+
+    table = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    assert line_points(spark, DATA).count() == table.count()
+    last = table.selectExpr("max(unix_micros(cast(l_shipdate as timestamp))) as a").first()["a"]
+    assert QUERIES["multi_dim_outliers_whole"](spark, DATA).where(f"window_end > {last}").count() > 0
