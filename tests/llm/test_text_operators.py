@@ -268,6 +268,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert score_toxicity(docs(spark, []), model).count() == 0
 
 
+def test_slices_cover_the_whole_text():
+    import numpy as np
+
+    from nearfield.llm.toxicity import EPOCHS, SLICE, _slice
+
+    for n in (0, 10, SLICE, 3 * SLICE + 1, EPOCHS * SLICE, EPOCHS * SLICE + 1, 20 * SLICE + 7):
+        text = np.arange(n)
+        assert set(np.concatenate([_slice(text, e) for e in range(EPOCHS)]).tolist()) == set(range(n))
+
+
 def test_convolution_by_brute_force():
     import numpy as np
 
