@@ -27,12 +27,16 @@ WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
 #: Bits a character: 20 random hex digits have about 3.4 on average, 20 random characters of base64 about 4.1.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
+#: A word of a path's part: one case or capitals within it, then few digits if any. Keys mix cases and digits otherwise. Possessive, so that long runs need no stack.
+_WORD = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})++|[A-Z]?[a-z]+|[A-Z]+)"
+_PIECE = rf"(?:{_WORD}[0-9]{{0,4}}|[0-9]{{1,8}})"
+_PART = rf"[_-]*{_PIECE}(?:[_-]+{_PIECE})*+[_-]*"
 #: Allow-list: what looks like a candidate but is no secret.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^[A-Za-z]+$",  # a word
     r"^[0-9_=/+-]+$",  # numbers, rules
-    r"^/?[A-Za-z_-]+(?:/[A-Za-z0-9_-]+)+/?$",  # a path
+    rf"^/?[_-]*{_WORD}(?:[_-]+{_WORD})*+[_-]*(?:/{_PART})++/?$",  # a path
     r"^[A-Za-z]+(?:[_-][A-Za-z]+)*[_-]?[0-9]{0,4}$",  # a name in parts
     r"(?i)example|placeholder|xxxx|your[_-]?key|changeme",
 )

@@ -158,6 +158,17 @@ def test_secrets(spark):
     assert find_secrets(docs(spark, [])).count() == 0
 
 
+def test_keys_with_slashes_are_no_paths(spark):
+    from nearfield.llm.secrets import ALLOWED, find_secrets
+
+    texts = ["see wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMQLEKEY here", "/usr/local/share/some-long-path/file2", "src/main/MyProject/part_01/2024/README"]
+    rows = find_secrets(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [[s["kind"] for s in r["spans"]] for r in rows] == [["entropy"], [], []]
+    r, any_of = random.Random(4), re.compile("|".join(f"(?:{p})" for p in ALLOWED if not p.startswith("(?i)")))
+    keys = [base64.b64encode(r.randbytes(30)).decode() for _ in range(5000)]
+    assert sum(bool(any_of.search(k)) for k in keys) <= 5
+
+
 def test_entropy_windows_by_brute_force(spark):
     import math
     from collections import Counter
