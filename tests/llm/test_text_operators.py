@@ -354,6 +354,88 @@ def test_nested_containers():
     assert main_text(f"<body>{parts}</body>").count("part of some words") == 2
 
 
+def invented_page(r):
+    """A page whose names tell nothing, and the lines of its article."""
+    some = lambda a, b: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(a, b)))
+    name = lambda: "".join(r.choice("bcdfgkpqvwxz") for _ in range(6))
+    links = lambda n, a, b: f"<div class={name()}><ul>" + "".join(f"<li><a href=/{name()}>{some(a, b)}</a></li>" for _ in range(n)) + "</ul></div>"
+    lines = [some(3, 9)]
+    body = f"<h1>{lines[0]}</h1>"
+    for _ in range(r.randint(4, 14)):
+        kind = r.random()
+        if kind < 0.75:
+            lines.append(some(25, 90))
+            first, *rest = lines[-1].split(" ")
+            body += f"<p>{first} <b>{rest[0]}</b> {' '.join(rest[1:])}" + r.choice(("</p>", ""))
+        elif kind < 0.9:
+            own = [some(2, 6) for _ in range(r.randint(2, 5))]
+            lines += own
+            body += "<ul>" + "".join(f"<li>{x}</li>" for x in own) + "</ul>"
+        else:
+            lines.append(some(2, 6))
+            body += f"<h2>{lines[-1]}</h2>"
+    lines.append(some(3, 8))
+    body += f"<p>{lines[-1]}</p>"
+    inner = f"<div class={name()}>{body}</div>"
+    if r.random() < 0.5:
+        inner = f"<div class={name()}>{inner}{links(r.randint(10, 60), 4, 9)}</div>"
+    page = f"<body><div class={name()}><a href=/>{some(1, 3)}</a> <i>{some(3, 7)}</i></div>{links(r.randint(8, 40), 1, 4)}{inner}{links(r.randint(20, 80), 5, 12)}<div class={name()}>{some(6, 15)} <a href=/x>{some(1, 3)}</a></div></body>"
+    return page, lines
+
+
+def test_ratios_find_the_region_where_names_tell_nothing(monkeypatch):
+    """By line, against known truth; without ratios the same pages are worse by far."""
+    from collections import Counter
+
+    import numpy as np
+
+    from nearfield.llm import html_extract
+
+    r = random.Random(8)
+    pages = [invented_page(r) for _ in range(300)]
+
+    def score():
+        hit = got = want = 0
+        for page, lines in pages:
+            mine, truth = Counter(html_extract.main_text(page).split("\n")), Counter(lines)
+            hit, got, want = hit + sum((mine & truth).values()), got + sum(mine.values()), want + sum(truth.values())
+        return hit / got, hit / want
+
+    precision, recall = score()
+    assert precision >= 0.95
+    assert recall >= 0.95
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert min(score()) < 0.8
+
+
+def test_depth_costs_linear_memory():
+    import tracemalloc
+
+    from nearfield.llm.html_extract import main_text
+
+    for page, text in (("<div>" * 50_000 + "deep", "deep"), ("<h1>" * 50_000 + "<p>x" * 3 + "</b>" * 50_000, "x\nx\nx"), ("<div><p>" * 30_000 + "deep" + "</p></div>" * 30_000, "deep")):
+        tracemalloc.start()
+        assert main_text(page) == text
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+        tracemalloc.stop()
+
+
+def test_registered_pages_by_brute_force(spark):
+    """The registered query on whole given pages, against their article taken out by patterns."""
+    import html
+
+    from nearfield.llm.queries import op8_html_extract
+
+    def brute(page):
+        body = re.search("<article>(.*?)(</article>|$)", page, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in re.split("</?(?:p|h1)>", body))
+        return "\n".join(b for b in blocks if b)
+
+    where = "/root/testdata/sf0.001"
+    want = {row["page_id"]: brute(row["html"]) for row in spark.read.parquet(f"{where}/pages.parquet").collect()}
+    assert {row["page_id"]: row["text"] for row in op8_html_extract(spark, where).collect()} == want
+
+
 def test_smoothing_keeps_constants():
     import numpy as np
 
