@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from nearfield.config import Query
+from nearfield.shared import new_path
 from nearfield.streaming.detect import replay
 
 
-def work_dir(spark) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="nearfield-")
-    return f"{base.rstrip('/')}/nearfield-stream/{uuid.uuid4().hex}"
-
-
 def replay_table(spark, points: DataFrame, queries: Sequence[Query], files: int = 4, kind: str = "euclidean", dims: int | None = None) -> DataFrame:
     """Writes the points in order of time as a few files, streams them one file a batch, and returns all answers."""
-    at = work_dir(spark)
+    at = new_path(spark, "stream")
     for part in range(files):  # by quantiles of the time, so that later files hold later points
         bounds = points.stat.approxQuantile("a", [part / files, (part + 1) / files], 0.01) if files > 1 else None
         chosen = points
