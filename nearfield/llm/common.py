@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield.shared import new_path
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -19,19 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark, "_nearfield_shared", None) or "file://" + tempfile.mkdtemp(prefix="nearfield-")
-        spark._nearfield_shared = where
-    return where.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage is cut, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearfield/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,8 +2,10 @@
 
 Documents stream by, a word at a time, through the automaton of all items; it tracks the longest match that ends at
 each word. Where the match reaches a window (13 words, or the whole of a shorter item), the window's words are hit.
-The items are read in blocks of bounded size, an automaton each, so that memory on an executor does not grow with the
-benchmark; each block is a further pass over the same rows in the same task, and no row is shuffled.
+The items are read in blocks of bounded size, an automaton each. Whatever their number, a task has one worker, which
+holds one automaton at a time: it takes rows up to CHUNK bytes of text, sends them through every block in turn, and goes
+on. So memory on an executor does not grow with the benchmark, and no row is shuffled; time grows with the number of
+blocks. What a state must know of its ancestors is stored with it, so a word costs the same however an item repeats itself.
 
 Defined cases: a null or empty text has no words and is never contaminated; repeated rows are judged each on its own;
 an empty benchmark hits nothing; items without words are ignored; extra columns pass through, except those named like
@@ -20,6 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearfield.llm.common import Batches, released
@@ -27,6 +30,8 @@ from nearfield.llm.common import Batches, released
 WINDOW = 13
 #: Words of an automaton: about 150 MB in an executor's Python worker.
 BLOCK_WORDS = 200_000
+#: Bytes of text that are held while the blocks take turns; with one block, batches pass as they come.
+CHUNK = 32 << 20
 #: Shares of a document's words: 1/20 makes it contaminated; where over half is hit, nothing of it is worth keeping.
 COVERAGE, DROP_COVERAGE = 1 / 20, 1 / 2
 
@@ -48,8 +53,8 @@ class SuffixAutomaton:
         self.vocabulary: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.items: list[set[str]] = [set()]
-        self.whole: dict[int, list[tuple[int, str]]] = {}
+        self.items: dict[int, set[str]] = {}  # of the states of windows
+        self.whole: dict[int, list[tuple[int, str]]] = {}  # items shorter than a window, by the state of their text
         self.least = window
         number = self.vocabulary
         coded = [(name, [number.setdefault(w, len(number)) for w in words]) for name, words in items if words]
@@ -57,14 +62,15 @@ class SuffixAutomaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
+        self._climb()
         for name, ids in coded:
             self._mark(name, ids)
+        self._climb_whole()
 
     def _new(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.length.append(length)
         self.link.append(link)
-        self.items.append(set())
         return len(self.length) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
@@ -89,15 +95,32 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
+    def _by_length(self) -> list[int]:
+        """States, ancestors first."""
+        return np.argsort(self.length, kind="stable").tolist()
+
+    def _climb(self) -> None:
+        """window_of: of each state, its ancestor (or itself) that holds the last words of a window, 0 if its strings are shorter."""
+        self.window_of = [0] * len(self.length)
+        for u in self._by_length():
+            if self.length[u] >= self.window:
+                self.window_of[u] = self.window_of[self.link[u]] or u
+
+    def _climb_whole(self) -> None:
+        """whole_of: of each state, its nearest ancestor (or itself) at which a short item ends, 0 if there is none."""
+        self.whole_of = [0] * len(self.length) if self.whole else []
+        if self.whole:
+            for u in self._by_length()[1:]:
+                self.whole_of[u] = u if u in self.whole else self.whole_of[self.link[u]]
+
     def _mark(self, name: str, ids: list[int]) -> None:
         """Names the item at the states of its windows."""
         v = 0
         for c in ids:
             v = self.step[v][c]
-            u = v
-            while u > 0 and self.length[u] >= self.window and name not in self.items[u]:
-                self.items[u].add(name)
-                u = self.link[u]
+            u = self.window_of[v]
+            if u:
+                self.items.setdefault(u, set()).add(name)
         if len(ids) < self.window:
             self.whole.setdefault(v, []).append((len(ids), name))
             self.least = min(self.least, len(ids))
@@ -105,7 +128,7 @@ class SuffixAutomaton:
     def match(self, ids: list[int], offset: int, hit: np.ndarray, found: set[str]) -> int:
         """Streams words through the automaton; marks those in windows, adds the windows' items; returns the longest match."""
         v = length = longest = 0
-        w, step, link, lengths = self.window, self.step, self.link, self.length
+        w, step, link, lengths, seen = self.window, self.step, self.link, self.length, set()
         for i, c in enumerate(ids, offset):
             while v and c not in step[v]:
                 v = link[v]
@@ -116,18 +139,18 @@ class SuffixAutomaton:
             longest = max(longest, length)
             if length >= w:
                 hit[i - w + 1 : i + 1] = True
-                u = v
-                while lengths[link[u]] >= w:
-                    u = link[u]
-                found |= self.items[u]
-            if self.whole:
-                u = v
-                while u > 0:
-                    for n, name in self.whole.get(u, ()):
+                u = self.window_of[v]
+                if u not in seen:
+                    seen.add(u)
+                    found |= self.items[u]
+            if self.whole_of:
+                u = self.whole_of[v]
+                while u:
+                    for n, name in self.whole[u]:
                         if n <= length:
                             hit[i - n + 1 : i + 1] = True
                             found.add(name)
-                    u = link[u]
+                    u = self.whole_of[link[u]]
         return longest
 
     def scan(self, words: list[bytes], hit: np.ndarray, found: set[str]) -> int:
@@ -164,12 +187,13 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: in
 _built: dict[str, SuffixAutomaton] = {}
 
 
-def _automaton(items: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
-    """Built once in a worker; one is kept at a time."""
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+def _automaton(key: str, items: Broadcast, window: int) -> SuffixAutomaton:
+    """Of a block's items. One is kept at a time, for the tasks to come; the block's text is let go, as it can be read again."""
     if key not in _built:
         _built.clear()
-        _built[key] = SuffixAutomaton([(name, text.split()) for name, text in items], window)
+        _built[key] = SuffixAutomaton([(name, text.split()) for name, text in items.value], window)
+        if getattr(items, "_path", None):
+            items.__dict__.pop("_value", None)
     return _built[key]
 
 
@@ -184,53 +208,65 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, then: Callable[[Batches], Batches] | None = None, result: T.StructType | None = None) -> DataFrame:
-    """A pass for each block of items; the last one hands its batches to then, in the same worker, which makes the result's columns of them."""
-    kept = [f for f in docs.schema.fields if f.name not in FOUND]
+    """One pass, in which every block takes its turn; its batches go to then, in the same worker, which makes the result's columns of them."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in FOUND]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hits", _RUNS)])
     names = [f.name for f in kept]
-    out, first = docs.select(*names), True
-    blocks = item_blocks(benchmark, block_words, window)
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        run = _pass(out.sparkSession.sparkContext.broadcast(block), window, names, first)
-        if then and following is None:
-            out = out.mapInArrow(released(_chain(run, then)), result)
-        else:
-            out = out.mapInArrow(released(run), schema)
-        block, first = following, False
-    return out
+    context = docs.sparkSession.sparkContext
+    blocks = [(hashlib.sha256(repr((items, window)).encode()).hexdigest(), context.broadcast(items)) for items in item_blocks(benchmark, block_words, window)]
+    run = _turns(blocks, window, names)
+    return docs.select(*names).mapInArrow(released(_chain(run, then) if then else run), result or schema)
 
 
 def _chain(run: Callable[[Batches], Batches], then: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return lambda batches: then(run(batches))
 
 
-def _pass(items, window: int, names: list[str], first: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items.value, window)
-        for b in batches:
-            texts = b.column("text").cast(pa.binary())
-            rows = []
-            for k in range(b.num_rows):
-                words = words_of(texts[k].as_py() or b"")
-                hit, found, longest = np.zeros(len(words), bool), set(), 0
-                if not first:
-                    longest, found = b.column("longest")[k].as_py(), set(b.column("item_ids")[k].as_py())
-                    for run in b.column("hits")[k].as_py():
-                        hit[run["start"] : run["end"]] = True
-                longest = max(longest, automaton.scan(words, hit, found))
-                runs = []
-                if found:
-                    edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
-                    runs = [{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-                rows.append((len(words), int(hit.sum()) if found else 0, longest, sorted(found), runs))
-            made = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(made[i], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), _RUNS_ARROW)))], names=[*names, *FOUND])
+def _chunks(batches: Batches, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about size bytes."""
+    chunk, held = [], 0
+    for b in batches:
+        chunk.append(b)
+        held += b.nbytes
+        if held >= size:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
+def _turns(blocks: list[tuple[str, Broadcast]], window: int, names: list[str]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for chunk in _chunks(batches, CHUNK if len(blocks) > 1 else 0):
+            rows = [[None, set(), 0] for b in chunk for _ in range(b.num_rows)]  # hit words, items, longest match
+            for key, items in blocks:
+                automaton, at = _automaton(key, items, window), iter(rows)
+                for b in chunk:
+                    for text in b.column("text").cast(pa.binary()):
+                        row, words = next(at), words_of(text.as_py() or b"")
+                        if row[0] is None:
+                            row[0] = np.zeros(len(words), bool)
+                        row[2] = max(row[2], automaton.scan(words, row[0], row[1]))
+            at = iter(rows)
+            for b in chunk:
+                yield _found(b, [next(at) for _ in range(b.num_rows)], names)
 
     return run
 
 
+def _found(b: pa.RecordBatch, rows: list, names: list[str]) -> pa.RecordBatch:
+    made = []
+    for hit, found, longest in rows:
+        runs = []
+        if found:
+            edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
+            runs = [{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)]
+        made.append((len(hit), int(hit.sum()) if found else 0, longest, sorted(found), runs))
+    columns = list(zip(*made, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), _RUNS_ARROW)
+    return pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=[*names, *FOUND])
+
+
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     """Whether a document counts as contaminated: at least a twentieth of its words is hit."""
     return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))
@@ -249,7 +285,10 @@ def without_runs(text: str, runs: list[dict]) -> str:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, in which contaminated documents lose the hit spans (once: what only meets across a cut is not looked for); those with over half of their words hit go. Others are left as they are, as are columns named like an output. n_chars, if there, is brought up to date."""
     columns = docs.columns
-    own = {c: f"__own_{c}" for c in columns if c in FOUND}
+    prefix = "_own_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    own = {c: prefix + c for c in columns if c.lower() in FOUND}
 
     def cut(batches: Batches) -> Batches:
         for b in batches:
