@@ -1,11 +1,16 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns; a reversible template renders them.
 
-A record's layout is the set of its nested field paths. The hash of that set (its fingerprint) is looked up in a
-registry of mappings, so a layout is either known exactly or refused: nothing is guessed from single field names.
+A layout is the set of nested field paths of a record or of a table's schema. The hash of that set (its fingerprint)
+is looked up in a registry of mappings, and the mapping found says which fields become turns: a row for each turn, a list
+of messages, or a field for each turn. A further layout takes a further mapping and no code. A JSON record's layout is
+known exactly or refused. A table may have extra columns: of the mappings whose fingerprint is that of some of its
+paths, the one with most paths is taken, and a table with none, or with two alike, is refused.
 
 Defined cases: a null text or role counts as empty; turns with the same number are ordered by role, then text; null
-numbers come first; repeated rows are turns of their own; an empty table gives no conversations; extra columns of a
-table of turns are ignored.
+numbers come first; repeated rows are turns of their own; an empty table gives no conversations; a row without messages
+is a conversation without turns; a layout without ids gives null ids; what is no string is written as JSON, and a lone
+surrogate as U+FFFD; a record that is no JSON object, is nested too deeply to be read, or has an unknown layout has the
+layout null and no turns; columns named layout or turns are replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +31,15 @@ TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.Struc
 # --- fingerprints and mappings ---------------------------------------------------------------------------------------
 
 
+def _name(name: str) -> str:
+    """A field's name in a path: the signs of paths are escaped in it, so that no name looks like a path."""
+    return re.sub(r"([\\.\[])", r"\\\1", name)
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     """Paths of the leaves of a Spark type: `messages[].role`."""
     if isinstance(kind, T.StructType):
-        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields))
+        return set().union(*(schema_paths(f.dataType, f"{at}.{_name(f.name)}" if at else _name(f.name)) for f in kind.fields))
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, f"{at}[]")
     return {at}
@@ -38,7 +48,7 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 def record_paths(value: object, at: str = "") -> set[str]:
     """Paths of the leaves of a JSON value; empty lists and objects count as leaves of their own."""
     if isinstance(value, dict) and value:
-        return set().union(*(record_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        return set().union(*(record_paths(v, f"{at}.{_name(k)}" if at else _name(k)) for k, v in value.items()))
     if isinstance(value, list) and value:
         return set().union(*(record_paths(v, f"{at}[]") for v in value))
     return {at}
@@ -46,18 +56,20 @@ def record_paths(value: object, at: str = "") -> set[str]:
 
 def fingerprint(paths: set[str]) -> str:
     """Hash of a set of paths, whatever their order."""
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """turns: (role, path) pairs in order, for layouts with a field a turn; or messages: the list's path with the fields of role and text."""
+    """rows: the fields of conversation, order, role and text of a table with a row for each turn; or turns: (role, path) pairs in order, for layouts with a field a turn; and messages: the list's path, then the fields of role and text. conv: the field of the conversation's id, if there is one. aliases: whether names of roles are made canonical."""
 
     name: str
     paths: frozenset[str]
     turns: tuple[tuple[str, str], ...] = ()
     messages: tuple[str, str, str] | None = None
     rows: tuple[str, str, str, str] | None = None
+    conv: str | None = None
+    aliases: bool = True
 
     @property
     def key(self) -> str:
@@ -68,8 +80,13 @@ def _flat(name: str, *turns: tuple[str, str]) -> Mapping:
     return Mapping(name, frozenset(path for _, path in turns), turns=turns)
 
 
-def _list(name: str, at: str, role: str, text: str, *more: tuple[str, str]) -> Mapping:
-    return Mapping(name, frozenset({f"{at}[].{role}", f"{at}[].{text}", *(p for _, p in more)}), turns=more, messages=(at, role, text))
+def _list(name: str, at: str, role: str, text: str, *more: tuple[str, str], conv: str | None = None) -> Mapping:
+    return Mapping(name, frozenset({f"{at}[].{role}", f"{at}[].{text}", *(p for _, p in more), *([conv] if conv else [])}), turns=more, messages=(at, role, text), conv=conv)
+
+
+def rows_mapping(name: str, conv: str, order: str, role: str, text: str, aliases: bool = True) -> Mapping:
+    """Of a table with a row for each turn."""
+    return Mapping(name, frozenset({conv, order, role, text}), rows=(conv, order, role, text), aliases=aliases)
 
 
 MAPPINGS = (
@@ -82,69 +99,119 @@ MAPPINGS = (
     _list("messages", "messages", "role", "content"),
     _list("conversations", "conversations", "from", "value"),
     _list("system_conversations", "conversations", "from", "value", ("system", "system")),
-    Mapping("turn_rows", frozenset({"conv_id", "turn", "role", "text"}), rows=("conv_id", "turn", "role", "text")),
+    _list("messages_by_id", "messages", "role", "content", conv="conv_id"),
+    _list("conversations_by_id", "conversations", "from", "value", conv="id"),
+    rows_mapping("turn_rows", "conv_id", "turn", "role", "text", aliases=False),  # canonical already
+    rows_mapping("message_rows", "conversation_id", "message_index", "role", "content"),
 )
-REGISTRY = {m.key: m for m in MAPPINGS}
 #: Names of roles in public layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def select_mapping(paths: set[str]) -> Mapping:
-    """The mapping whose fingerprint equals that of the paths."""
-    found = REGISTRY.get(fingerprint(paths))
-    if found is None:
-        raise ValueError(f"no mapping for the layout {sorted(paths)}")
-    return found
+def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
+    """Mappings by fingerprint."""
+    return {m.key: m for m in mappings}
+
+
+def select_mapping(paths: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping:
+    """The mapping whose fingerprint equals that of a table's paths; with extra columns, the one with most paths among those whose fingerprint the table's paths of these names have."""
+    known = registry(mappings)
+    found = known.get(fingerprint(paths))
+    if found:
+        return found
+    within = [m for key, m in known.items() if fingerprint(paths & m.paths) == key]
+    most = max((len(m.paths) for m in within), default=0)
+    best = [m for m in within if len(m.paths) == most]
+    if len(best) != 1:
+        raise ValueError(f"{'two mappings' if best else 'no mapping'} for the layout {sorted(paths)}")
+    return best[0]
+
+
+def _text(value: object) -> str:
+    """A JSON value as text that can be stored."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
+
+
+def _value(record: dict, path: str) -> object:
+    for name in path.split("."):
+        record = record[name]
+    return record
+
+
+def _joined(turns: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Turns with the same role that follow one another, joined by a newline."""
+    out: list[tuple[str, str]] = []
+    for role, text in turns:
+        if out and out[-1][0] == role:
+            out[-1] = (role, out[-1][1] + "\n" * bool(text) + text)
+        else:
+            out.append((role, text))
+    return out
 
 
-def record_turns(record: dict) -> list[tuple[str, str]] | None:
-    """Canonical turns of a JSON record; None for a layout that no mapping knows. Turns with the same role that follow one another in a flat layout are joined by a newline."""
-    m = REGISTRY.get(fingerprint(record_paths(record)))
+def record_turns(record: dict, known: dict[str, Mapping] | None = None) -> tuple[str, list[tuple[str, str]]] | None:
+    """The layout and the canonical turns of a JSON record; None for a layout that no mapping knows. Turns with the same role that follow one another in a flat layout are joined by a newline."""
+    m = (known or registry()).get(fingerprint(record_paths(record)))
     if m is None or m.rows:
         return None
-    turns: list[tuple[str, str]] = []
-    for role, path in m.turns:
-        text = str(record[path] if record[path] is not None else "")
-        if turns and turns[-1][0] == role:
-            turns[-1] = (role, turns[-1][1] + "\n" * bool(text) + text)
-        else:
-            turns.append((role, text))
+    turns = _joined([(role, _text(_value(record, path))) for role, path in m.turns])
     if m.messages:
         at, role, text = m.messages
-        turns += [(ROLES.get(x.get(role), x.get(role)) or "", str(x.get(text) if x.get(text) is not None else "")) for x in record[at]]
-    return turns
+        said = [(_text(x.get(role)), _text(x.get(text))) for x in _value(record, at)]
+        turns += [(ROLES.get(r, r) if m.aliases else r, t) for r, t in said]
+    return m.name, turns
 
 
-def canonical_json(df: DataFrame, column: str) -> DataFrame:
+def canonical_json(df: DataFrame, column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """JSON records of mixed layouts, a fingerprint each: adds `layout` (null: unknown or not JSON) and `turns`."""
-    names = {m.key: m.name for m in MAPPINGS}
+    known = registry(mappings)
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("layout", "turns")] + [T.StructField("layout", T.StringType()), T.StructField("turns", TURNS)])
 
+    def turns_of(line: str | None) -> tuple[str, list[tuple[str, str]]] | None:
+        try:
+            record = json.loads(line)
+            return record_turns(record, known) if isinstance(record, dict) else None
+        except (TypeError, ValueError, RecursionError):
+            return None
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            layouts, turns = [], []
-            for s in b.column(column).to_pylist():
-                try:
-                    record = json.loads(s)
-                except (TypeError, ValueError):
-                    record = None
-                got = record_turns(record) if isinstance(record, dict) else None
-                layouts.append(None if got is None else names[fingerprint(record_paths(record))])
-                turns.append(None if got is None else [{"role": r, "text": t} for r, t in got])
+            got = [turns_of(s) for s in b.column(column).to_pylist()]
+            layouts = [g and g[0] for g in got]
+            turns = [g and [{"role": r, "text": t} for r, t in g[1]] for g in got]
             kept = [n for n in b.schema.names if n not in ("layout", "turns")]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(layouts, pa.string()), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))], names=[*kept, "layout", "turns"])
 
     return df.mapInArrow(read, schema)
 
 
-def canonical_rows(df: DataFrame) -> DataFrame:
-    """A table with a row for each turn, as `conv_id, turns`; the fingerprint of its schema must be that of such a layout. Extra columns are ignored."""
-    wanted = next(m for m in MAPPINGS if m.rows)
-    m = select_mapping(schema_paths(df.select(*[c for c in df.columns if c in wanted.paths]).schema))
-    conv, turn, role, text = m.rows
-    rows = df.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
-    turns = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(turns.alias("turns"))
+def canonical_rows(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """A table as `conv_id, turns`: the fingerprint of its nested schema selects the mapping, and that says what is read. Extra columns are ignored."""
+    m = select_mapping(schema_paths(df.schema), mappings)
+    said = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    alias = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    canonical = lambda r: F.coalesce(F.element_at(alias, r), r) if m.aliases else r
+    turn = lambda r, t: F.struct(r.alias("role"), t.alias("text"))
+    if m.rows:
+        conv, order, role, text = map(F.col, m.rows)
+        rows = df.select(conv.alias("conv_id"), F.struct(order.alias("turn"), said(role).alias("role"), said(text).alias("text")).alias("t"))
+        turns = F.transform(F.sort_array(F.collect_list("t")), lambda t: turn(canonical(t["role"]), t["text"]))
+        return rows.groupBy("conv_id").agg(turns.alias("turns"))
+    runs: list[tuple[str, list]] = []  # fields of one role that follow one another are one turn
+    for role, path in m.turns:
+        if runs and runs[-1][0] == role:
+            runs[-1][1].append(path)
+        else:
+            runs.append((role, [path]))
+    follows = lambda c: F.when(said(c) != "", F.concat(F.lit("\n"), said(c))).otherwise("")
+    turns = F.array(*(turn(F.lit(role), F.concat(said(F.col(first)), *(follows(F.col(p)) for p in more))) for role, (first, *more) in runs)).cast(TURNS)
+    if m.messages:
+        at, role, text = m.messages
+        list_turns = F.transform(F.col(at), lambda x: turn(canonical(said(x[role])), said(x[text])))
+        turns = F.concat(turns, F.coalesce(list_turns.cast(TURNS), F.array().cast(TURNS)))
+    conv = F.col(m.conv) if m.conv else F.lit(None).cast("long")
+    return df.select(conv.alias("conv_id"), turns.alias("turns"))
 
 
 # --- template --------------------------------------------------------------------------------------------------------
@@ -194,6 +261,6 @@ def format_turns(df: DataFrame) -> DataFrame:
     return df.select("conv_id", "turns").mapInArrow(run, T.StructType([df.schema["conv_id"], T.StructField("formatted", T.StringType()), T.StructField("loss_mask", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]))
 
 
-def format_conversations(df: DataFrame) -> DataFrame:
-    """A table of turns, formatted."""
-    return format_turns(canonical_rows(df))
+def format_conversations(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """A table of any known layout, formatted."""
+    return format_turns(canonical_rows(df, mappings))

@@ -476,8 +476,8 @@ def test_layouts(spark):
         "messages": {"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": None}]},
         "conversations": {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]},
     }
-    assert record_turns(records["instruction_input_output"]) == [("user", "i\nx"), ("assistant", "o")]
-    assert record_turns(records["conversations"]) == [("user", "h"), ("assistant", "g")]
+    assert record_turns(records["instruction_input_output"]) == ("instruction_input_output", [("user", "i\nx"), ("assistant", "o")])
+    assert record_turns(records["conversations"]) == ("conversations", [("user", "h"), ("assistant", "g")])
     lines = [*map(json.dumps, records.values()), "no json", None, '{"other": 1}', "[1]"]
     df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(lines)], "n int, record string, turns string")
     got = canonical_json(df, "record").orderBy("n").collect()
@@ -487,6 +487,53 @@ def test_layouts(spark):
         select_mapping({"a", "b"})
 
 
+def test_odd_records(spark):
+    """Roles and texts that are no strings, lone surrogates, deep nesting, names that look like paths."""
+    from nearfield.llm.chat_format import canonical_json, format_turns, parse
+
+    lines = [
+        '{"messages":[{"role":5,"content":true},{"role":"human","content":[]}]}', '{"prompt":"\\ud800x","response":"\\ude00"}', '{"a":' * 100_000, "[" * 100_000 + "]" * 100_000, '{"prompt":{},"response":null}',
+        '{"messages[].role":"x","messages[].content":"y"}', '{"\\ud800":1}', '{"messages":[{"role":["a"],"content":"b"}]}', '{"messages":[1,{"role":"a","content":"b"}]}', '{"messages":[]}', '{"prompt":' + "9" * 5000 + ',"response":"r"}', '{"prompt":NaN,"response":1.5}',
+        '{"a":' * 5000 + "1" + "}" * 5000,
+    ]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "conv_id int, record string")
+    rows = canonical_json(df, "record").orderBy("conv_id").collect()
+    got = [(r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in rows]
+    assert got[0] == ("messages", [("5", "true"), ("user", "[]")])
+    assert got[1] == ("prompt_response", [("user", "\ufffdx"), ("assistant", "\ufffd")])
+    assert got[4] == ("prompt_response", [("user", "{}"), ("assistant", "")])
+    assert got[11] == ("prompt_response", [("user", "NaN"), ("assistant", "1.5")])
+    assert {i for i, (layout, _) in enumerate(got) if layout} == {0, 1, 4, 11}
+    said = format_turns(canonical_json(df, "record").where("layout is not null")).collect()
+    assert all(parse(r["formatted"]) for r in said)
+
+
+def test_tables_are_dispatched_by_fingerprint(spark):
+    """Another layout takes another mapping and nothing else; an unknown one is refused."""
+    from nearfield.llm.chat_format import MAPPINGS, format_conversations, parse, rows_mapping
+
+    said = lambda df, *more: {r["conv_id"]: parse(r["formatted"]) for r in format_conversations(df, (*MAPPINGS, *more)).collect()}
+    want = {1: [("user", "q"), ("assistant", "a")]}
+    other = spark.createDataFrame([(1, 2, "gpt", "a", 0), (1, 1, "human", "q", 0)], "dialog long, position int, speaker string, content string, extra int")
+    with pytest.raises(ValueError, match="no mapping"):
+        format_conversations(other)
+    assert said(other, rows_mapping("dialog_rows", "dialog", "position", "speaker", "content")) == want
+    nested = spark.createDataFrame([(1, [("human", "q"), ("assistant", "a")], "x"), (2, None, "x"), (3, [], "x")], "conv_id long, messages array<struct<role:string,content:string>>, turn string")
+    assert said(nested) == want | {2: [], 3: []}
+    shared = spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")])], "id long, conversations array<struct<from:string,value:string>>")
+    assert said(shared) == want
+    flat = spark.createDataFrame([("i", "x", "o", 1), ("i", None, None, 2)], "instruction string, input string, output string, n int")
+    rows = sorted(parse(r["formatted"]) for r in format_conversations(flat).collect())
+    assert rows == [[("user", "i"), ("assistant", "")], [("user", "i\nx"), ("assistant", "o")]]
+    indexed = spark.createDataFrame([(1, 1, "human", "q"), (1, 2, "gpt", "a")], "conversation_id long, message_index int, role string, content string")
+    assert said(indexed) == want
+    both = spark.createDataFrame([("p", "r", "c")], "prompt string, response string, completion string")
+    with pytest.raises(ValueError, match="two mappings"):
+        format_conversations(both)
+    numbers = spark.createDataFrame([(1, 1, 5, 6)], "conv_id long, turn int, role int, text int")
+    assert said(numbers) == {1: [("5", "6")]}
+
+
 def test_conversations(spark):
     from nearfield.llm.chat_format import format_conversations, parse
 
