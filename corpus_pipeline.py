@@ -14,6 +14,7 @@ from nearfield.llm.line_dedup import without_boilerplate
 from nearfield.llm.near_dedup import keep_one
 from nearfield.llm.quality import keep_good
 from nearfield.llm.sentencepiece_nbest import Vocabulary, encode
+from nearfield.shared import remove, written
 
 
 #: Limit of the near-dedup stage on five-word shingles, in hundredths.
@@ -58,10 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
+    """All stages over documents; each result but the last is written to the shared folder and read again, and what it was made of is removed."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+    with written() as paths:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = stored(docs, name)
+                for path in paths[:-1]:
+                    remove(spark, path)
+                del paths[:-1]
     return docs
