@@ -183,6 +183,84 @@ def test_entropy_windows_by_brute_force(spark):
         assert got == want
 
 
+def test_windows_are_judged_by_their_own_class(spark):
+    """High windows of long mixed runs, by brute force; numbers are never high."""
+    import math
+    from collections import Counter
+
+    from nearfield.llm.secrets import BIT, THRESHOLDS, WINDOW, high_windows
+
+    def limit(w):
+        digit, hexa, other = re.search("[0-9]", w), re.search("[a-fA-F]", w), re.search("[g-zG-Z]", w)
+        if not hexa and not other:
+            return -1
+        kind = "base64" if not digit or re.search("[^A-Za-z0-9]", w) else "alnum" if other else "hex"
+        return math.floor(BIT * WINDOW * (math.log2(WINDOW) - THRESHOLDS[kind]))
+
+    r = random.Random(9)
+    some = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    runs = [some("0123456789abcdef", 30) + "/" + some("0123456789", 40) + "+" + some("abcdefghijklmnop0123", 70) + "-" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef0123+/", n) for n in (0, 1, 43, 44, 45, 200)] + ["a1" * 100, some("0123456789", 64), some("0123456789abcdefXYZ", 83)]
+    got = spark.createDataFrame([(s,) for s in runs], "s string").select("s", high_windows(F.col("s")).alias("w")).collect()
+    for s, w in got:
+        sums = [sum(round(BIT * math.log2(c)) * c for c in Counter(s[k : k + WINDOW]).values()) for k in range(len(s) - WINDOW + 1)]
+        assert w == [k for k, x in enumerate(sums) if x <= limit(s[k : k + WINDOW])]
+    assert any(w for _, w in got)
+
+
+def test_entropy_finds_planted_keys_and_leaves_names(spark):
+    """Keys that no pattern names: recall by class, and false spans among paths, names, dates and numbers."""
+    from nearfield.llm.secrets import find_secrets
+
+    r = random.Random(12)
+    classes = {"hex": "0123456789ABCDEF", "alnum": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "base64": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"}
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9)))
+    rows, kinds = [], []
+    for kind, alphabet in classes.items():
+        for _ in range(200):
+            rows.append(f"the key {''.join(r.choice(alphabet) for _ in range(32))} is here")
+            kinds.append(kind)
+    for _ in range(600):
+        rows.append(r.choice((f"{word()}-{word()}-{word()}-{word()}-{r.randint(1900, 2030)}", f"/{word()}/{word()}/{word()}/{word()}{r.randint(0, 99)}", f"{word()}_{word()}_{word()}_{r.randint(0, 9999)}_{word()}", f"https://{word()}.com/{word()}/{word()}-{word()}-{r.randint(1, 10**6)}", f"{r.randint(10**20, 10**23)}", f"2024-01-01T12-30-45-{r.randint(10**5, 10**6)}")))
+        kinds.append("no key")
+    got = find_secrets(docs(spark, rows)).orderBy("doc_id").collect()
+    share = lambda kind: sum(any(s["kind"] == "entropy" for s in x["spans"]) for x, k in zip(got, kinds, strict=True) if k == kind) / kinds.count(kind)
+    assert min(map(share, classes)) >= 0.97
+    assert share("no key") <= 0.01
+
+
+def test_long_runs_take_linear_time(spark):
+    """A megabyte of base64 in one text; many matches in one text."""
+    import time
+
+    from nearfield.llm.secrets import find_secrets
+
+    r = random.Random(2)
+    data = base64.b64encode(r.randbytes(750_000)).decode()
+    began = time.time()
+    (row,) = find_secrets(docs(spark, [f"data {data} end"])).collect()
+    assert time.time() - began < 15
+    assert sum(s["end"] - s["start"] for s in row["spans"]) > 990_000
+    many = " ".join("".join(r.choice("0123456789abcdef") for _ in range(24)) + " AKIA" + "B1" * 10 for _ in range(5000))
+    (row,) = find_secrets(docs(spark, [many])).collect()
+    assert [(s["kind"], s["start"], s["end"]) for s in row["base"]] == secrets_brute(many)
+
+
+def test_spans_apart_by_brute_force(spark):
+    from nearfield.llm.secrets import PART, apart, running
+
+    r = random.Random(6)
+    span = "array<struct<kind:string,start:bigint,end:bigint,text:string>>"
+    some = lambda kind, n: [(kind, s, s + r.randint(1, 30), "t") for s in (r.randrange(2000) for _ in range(n))]
+    rows = [(some("hex", n), some("entropy", m)) for n, m in ((0, 0), (0, 5), (5, 0), (3, 9), (40, 60), (PART, PART), (1, 400))]
+    got = spark.createDataFrame(rows, f"base {span}, more {span}").select("base", "more", apart(F.col("base"), F.col("more")).alias("apart")).collect()
+    for base, more, left in got:
+        assert sorted(left) == sorted(m for m in more if all(m["end"] <= b["start"] or b["end"] <= m["start"] for b in base))
+    for n in (0, 1, PART, PART + 1, 5 * PART + 3):
+        values = [r.randrange(9) for _ in range(n)]
+        (row,) = spark.createDataFrame([(values,)], "v array<bigint>").select(running(F.col("v")).alias("s")).collect()
+        assert row["s"] == [sum(values[: k + 1]) for k in range(n)]
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------
 
 
