@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nearfield.shared import new_path
 
@@ -27,6 +27,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """df, in which columns whose names are taken (whatever their case) have others, and the columns under their own names again."""
+    names = {t.lower() for t in taken}
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    new = {c: prefix + c if c.lower() in names else c for c in df.columns}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.withColumnsRenamed({c: n for c, n in new.items() if c != n}), [quoted(n).alias(c) for c, n in new.items()]
+
+
 def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """run, after which the worker, which later tasks use again, gives the memory it has freed back to the system."""
 

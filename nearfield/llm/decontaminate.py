@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from nearfield.llm.common import Batches, released
+from nearfield.llm.common import Batches, aside, released
 
 WINDOW = 13
 #: Words of an automaton: about 150 MB in an executor's Python worker.
@@ -215,7 +215,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int
     context = docs.sparkSession.sparkContext
     blocks = [(hashlib.sha256(repr((items, window)).encode()).hexdigest(), context.broadcast(items)) for items in item_blocks(benchmark, block_words, window)]
     run = _turns(blocks, window, names)
-    return docs.select(*names).mapInArrow(released(_chain(run, then) if then else run), result or schema)
+    return docs.select(*(f"`{n}`" for n in names)).mapInArrow(released(_chain(run, then) if then else run), result or schema)
 
 
 def _chain(run: Callable[[Batches], Batches], then: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
@@ -285,10 +285,8 @@ def without_runs(text: str, runs: list[dict]) -> str:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, in which contaminated documents lose the hit spans (once: what only meets across a cut is not looked for); those with over half of their words hit go. Others are left as they are, as are columns named like an output. n_chars, if there, is brought up to date."""
     columns = docs.columns
-    prefix = "_own_"
-    while any(c.startswith(prefix) for c in columns):
-        prefix = "_" + prefix
-    own = {c: prefix + c for c in columns if c.lower() in FOUND}
+    renamed, _ = aside(docs, FOUND)
+    own = dict(zip(columns, renamed.columns, strict=True))
 
     def cut(batches: Batches) -> Batches:
         for b in batches:
@@ -296,7 +294,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             dirty = (n_hit > 0) & (n_hit * 20 >= n_words)
             stays = ~(dirty & (n_hit > DROP_COVERAGE * n_words))
             b, dirty = b.filter(pa.array(stays)), dirty[stays]
-            arrays = {n: b.column(own.get(n, n)) for n in columns}
+            arrays = {n: b.column(own[n]) for n in columns}
             if dirty.any():
                 text, mask = arrays["text"], pa.array(dirty)
                 texts = [without_runs(text[k].as_py(), b.column("hits")[k].as_py()) for k in np.flatnonzero(dirty).tolist()]
@@ -305,4 +303,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                     arrays["n_chars"] = pc.replace_with_mask(arrays["n_chars"], mask, pa.array([len(t) for t in texts], arrays["n_chars"].type))
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=columns)
 
-    return _passes(docs.withColumnsRenamed(own), benchmark, window, block_words, cut, docs.schema)
+    return _passes(renamed, benchmark, window, block_words, cut, docs.schema)

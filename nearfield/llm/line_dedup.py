@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nearfield.llm.common import stored
+from nearfield.llm.common import aside, stored
 
 MIN_SITES = 3
 #: Precision of sketches (2**LG_K places) and the relative width of the band that is counted exactly.
@@ -26,6 +26,8 @@ LG_K = 8
 NEAR = 5 * 1.04 / 2 ** (LG_K / 2)
 #: Rows of hashes and places that are broadcast, some 100 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Names of columns that stand beside those of documents on the way.
+INNER = ("__k1", "__k2", "__places")
 
 
 def lines(text: Column) -> Column:
@@ -77,7 +79,8 @@ def cuts(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> D
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with the lines cut, and __lines, __cut: how many lines there were and went."""
+    """docs with the lines cut, and __lines, __cut: how many lines there were and went (columns named so are replaced)."""
+    docs, own = aside(docs.drop("__lines", "__cut"), INNER)
     lost = small(stored(cuts(docs, site, min_sites), "cuts"))
     keyed = docs.select("*", *_key()).join(lost, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     n = F.size(lines(F.col("text")))
@@ -88,4 +91,4 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     out = out.withColumn("text", F.when(some, kept).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("__places")
+    return out.select(*own, "__lines", "__cut")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from nearfield.llm.common import released, stored
+from nearfield.llm.common import aside, released, stored
 from nearfield.llm.minhash import ROWS, Words, bands, fingerprint, shingles, signature
 
 #: Linked from this share of the union upwards, in hundredths, if the caller names no other.
@@ -221,5 +221,6 @@ def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id"), F.when(F.col("node").isNull(), key).alias("z")).agg(F.min("row").alias("__row"), F.count("*").alias("n"))
     chosen = stored(chosen.select("__row", "n"), "chosen")
     repeated = chosen.where("n > 1").limit(1).count() > 0
-    kept = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), "text")).join(small(chosen.select("__row").distinct()), "__row", "left_semi")
-    return (kept.dropDuplicates(["__row"]) if repeated else kept).select(*docs.columns)
+    renamed, own = aside(docs, ("__row",))
+    kept = renamed.withColumn("__row", F.xxhash64(F.col("doc_id"), "text")).join(small(chosen.select("__row").distinct()), "__row", "left_semi")
+    return (kept.dropDuplicates(["__row"]) if repeated else kept).select(*own)

@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
 Fixed base rules reject outright. Beside them stand measured rules: a feature (share of symbols, of repeated lines, ...)
-beyond a cutoff rejects. Cutoffs are chosen by stratum (the language) on labelled holdouts: for each cutoff of a fixed
-grid, n good documents of the stratum and x of them rejected give the exact binomial tail P(X <= x | n, alpha); the
-cutoff is safe if that tail is at most delta divided by the number of all tests, strata times rules times cutoffs
-(Bonferroni), so with probability 1 - delta every chosen cutoff of every stratum falsely rejects at most alpha of the
-good documents. Of the safe cutoffs of a rule the one that rejects most is used; with none the rule is off.
+beyond a cutoff rejects. Cutoffs are chosen by stratum (the language) on labelled documents, of which half, by a hash of
+the id, makes proposals and the other half is the holdout that judges them. A proposal is a set of cutoffs, one for each
+rule: the strictest of a fixed grid that rejects some bad documents and of the good ones no more than a share; the
+shares of LEVELS, in turn, make proposals from lax to strict. Of n good documents of the holdout, x are rejected by any
+rule of a proposal: the exact binomial tail P(X <= x | n, alpha) must not exceed delta divided by the number of strata
+(Bonferroni). Within a stratum the proposals are tested from lax to strict until one fails, which needs no further
+correction (fixed-sequence testing). So with probability 1 - delta, in every stratum, all rules together falsely reject
+at most alpha of the good documents that the base lets through. The last proposal that passes is used; with none, the
+stratum has no measured rules.
 
 Defined cases: a null or empty text has no words and fails the base; a null language is a stratum of its own; a stratum
 with too few good labels has no measured rules; without labels only the base rules hold; labelled ids that occur twice
-count as often as their rows; repeated rows are judged each on its own; extra columns are ignored by `measured`, and
-kept by `keep_good`.
+count as often as their rows; repeated rows are judged each on its own; extra columns are ignored by `measured`, except
+that those named like its outputs are replaced, and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -19,11 +23,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nearfield.llm.common import stored
+from nearfield.llm.common import aside, stored
 
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 20, 30, 8
-#: Highest false rejection of a rule in a stratum, and the chance of exceeding it anywhere.
-ALPHA, DELTA = 0.005, 0.05
+#: Highest false rejection of all measured rules together in a stratum, and the chance of exceeding it anywhere.
+ALPHA, DELTA = 0.02, 0.05
+#: False rejection by each rule that a proposal allows on its own half of the labels.
+LEVELS = (0.0, 0.0005, 0.001, 0.002)
 #: Rules: a feature is rejected from its cutoff upwards. Grids from lax to strict.
 GRIDS = {
     "symbol_share": [0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02],
@@ -34,6 +40,8 @@ GRIDS = {
     "bar_share": [0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05],
     "digit_share": [0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
 }
+#: Strata whose cutoffs are broadcast; more are joined by a shuffle.
+BROADCAST_STRATA = 50_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -115,37 +123,62 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
     return F.when(x >= n * p, F.lit(1.0)).otherwise(F.aggregate(terms, start, step, lambda acc: acc["total"]))
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff: the strictest safe cutoff of each rule in each stratum, on all labelled documents."""
-    spark = docs.sparkSession
+def labelled(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """stratum, quality, shares, holdout of the labelled documents that pass the base (its own verdict is not the measured rules' doing). Labels grow with the documents: both are shuffled, but not the texts."""
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = docs.where("doc_id is not null").select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))
-    # good documents that pass the base; the base's own verdict is not the measured rules' doing. Labels grow with the documents: both are shuffled, but not the texts
     passed = features(known).where("not __quality.base_failed").select("doc_id", "stratum", F.col("__quality.shares").alias("shares")).join(picked, "doc_id")
+    return passed.select("stratum", "quality", "shares", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("holdout"))
+
+
+def _by_stratum(df: DataFrame, strata: DataFrame) -> DataFrame:
+    """strata: stored, a row each; many are joined by a shuffle."""
+    return df.join(F.broadcast(strata) if strata.count() <= BROADCAST_STRATA else strata, "stratum")
+
+
+def _beyond(shares: Column, cuts: Column) -> Column:
+    """Whether any share reaches its cutoff. cuts: of rule and cutoff."""
+    return F.exists(cuts, lambda e: F.element_at(shares, e["rule"]) >= e["cutoff"])
+
+
+def proposals_that_pass(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, cuts (of rule and cutoff): the strictest proposal that passes in each stratum, on all labelled documents."""
+    known = stored(labelled(docs, labels, stratum), "labelled")
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
     grid = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff")) for rule, cuts in GRIDS.items() for c in cuts))
-    tested = passed.select("stratum", "quality", "shares", F.explode(grid).alias("g"))
+    tested = known.where("not holdout").select("stratum", "quality", "shares", F.explode(grid).alias("g"))
     over = F.element_at("shares", F.col("g.rule")) >= F.col("g.cutoff")
-    counts = stored(tested.groupBy("stratum", "g.rule", "g.cutoff").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count_if((F.col("quality") == 1) & over).alias("x"), F.count_if((F.col("quality") == 0) & over).alias("bad")), "counts")
-    tests = max(1, counts.count())  # strata times rules times cutoffs
-    judged = counts.withColumn("tail", binomial_tail(F.col("x"), F.col("n"), alpha))
-    safe = judged.where((F.col("tail") <= delta / tests) & (F.col("bad") > 0))
-    return spark.createDataFrame([], "stratum string, rule string, cutoff double").unionByName(safe.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")))
+    counts = tested.groupBy("stratum", "g.rule", "g.cutoff").agg(F.count_if(good).alias("n"), F.count_if(good & over).alias("x"), F.count_if(bad & over).alias("bad"))
+    level = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.lit(share).alias("share")) for i, share in enumerate(LEVELS)))).alias("l")
+    able = counts.where("bad > 0").select("*", level).where(F.col("x") <= F.col("l.share") * F.col("n"))
+    strictest = able.groupBy("stratum", "l.level", "rule").agg(F.min("cutoff").alias("cutoff")).groupBy("stratum", "level").agg(F.sort_array(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    proposals = stored(strictest.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("level", "cuts"))).alias("proposals")), "proposals")
+    tests = max(1, known.where("holdout").select("stratum").distinct().count())
+    tried = _by_stratum(known.where("holdout"), proposals).select("stratum", "quality", "shares", F.explode("proposals").alias("p"))
+    judged = tried.select("stratum", "quality", F.col("p.level").alias("level"), _beyond(F.col("shares"), F.col("p.cuts")).alias("out"))
+    tallies = judged.groupBy("stratum", "level").agg(F.count_if(good).alias("n"), F.count_if(good & F.col("out")).alias("x"))
+    verdicts = tallies.withColumn("safe", binomial_tail(F.col("x"), F.col("n"), alpha) <= delta / tests)
+    fails = F.coalesce(F.min(F.when(~F.col("safe"), F.col("level"))), F.lit(len(LEVELS)))
+    last = verdicts.groupBy("stratum").agg(fails.alias("fails"), F.collect_list("level").alias("levels")).select("stratum", F.array_max(F.filter("levels", lambda x: x < F.col("fails"))).alias("level"))
+    chosen = last.where("level is not null").join(proposals, "stratum")
+    return chosen.select("stratum", F.filter("proposals", lambda p: p["level"] == F.col("level"))[0]["cuts"].alias("cuts"))
 
 
-#: Strata whose cutoffs are broadcast; more are joined by a shuffle.
-BROADCAST_STRATA = 50_000
+def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, rule, cutoff: those in use."""
+    return proposals_that_pass(docs, labels, stratum, alpha, delta).select("stratum", F.explode("cuts").alias("c")).select("stratum", "c.rule", "c.cutoff")
 
 
 def measured(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """docs with the struct column `__quality` (counts, base_failed) and the boolean column `__kept`."""
-    chosen = stored(cutoffs(docs, labels, stratum).groupBy("stratum").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "cutoff")))).alias("__cuts")).withColumnRenamed("stratum", "__stratum"), "cutoffs")
+    chosen = stored(proposals_that_pass(docs, labels, stratum).select(F.col("stratum").alias("__stratum"), F.col("cuts").alias("__cuts")), "cutoffs")
     few = chosen.count() <= BROADCAST_STRATA
-    judged = features(docs).join(F.broadcast(chosen) if few else chosen, F.coalesce(F.col(stratum), F.lit("")) == F.col("__stratum"), "left")
-    beyond = F.exists(F.map_entries("__cuts"), lambda e: F.element_at(F.col("__quality.shares"), e["key"]) >= e["value"])
-    kept = ~F.col("__quality.base_failed") & ~F.coalesce(beyond, F.lit(False))
+    judged = features(docs.drop("__quality", "__kept", "__cuts", "__stratum")).join(F.broadcast(chosen) if few else chosen, F.coalesce(F.col(stratum), F.lit("")) == F.col("__stratum"), "left")
+    kept = ~F.col("__quality.base_failed") & ~F.coalesce(_beyond(F.col("__quality.shares"), F.col("__cuts")), F.lit(False))
     return judged.withColumn("__kept", kept).drop("__cuts", "__stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns."""
-    return measured(docs, labels).where("__kept").select(*docs.columns)
+    renamed, own = aside(docs, ("__quality", "__kept", "__cuts", "__stratum"))
+    return measured(renamed, labels).where("__kept").select(*own)

@@ -327,6 +327,87 @@ def test_quality_counts_all_labels(spark):
     assert {("en", "symbol_share"), ("es", "symbol_share")} <= got
 
 
+def cutoffs_brute(rows, alpha, delta):
+    """rows: stratum, quality, shares by rule, holdout."""
+    import math
+
+    from nearfield.llm.quality import GRIDS, LEVELS
+
+    tail = lambda x, n: 1.0 if x >= n * alpha else sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(x + 1))
+    tests, out = len({s for s, _, _, held in rows if held}), set()
+    for stratum in {s for s, _, _, _ in rows}:
+        learn, held = ([(q, x) for s, q, x, h in rows if s == stratum and h == side] for side in (False, True))
+        n, best = sum(q == 1 for q, _ in learn), set()
+        for share in LEVELS:
+            cuts = {}
+            for rule, grid in GRIDS.items():
+                able = [c for c in grid if sum(q == 0 and x[rule] >= c for q, x in learn) and sum(q == 1 and x[rule] >= c for q, x in learn) <= share * n]
+                if able:
+                    cuts[rule] = min(able)
+            if not cuts or not held:
+                continue
+            wrong = sum(q == 1 and any(x[r] >= c for r, c in cuts.items()) for q, x in held)
+            if tail(wrong, sum(q == 1 for q, _ in held)) > delta / tests:
+                break
+            best = {(stratum, r, c) for r, c in cuts.items()}
+        out |= best
+    return out
+
+
+def test_cutoffs_and_verdicts_by_brute_force(spark):
+    """The registered query's verdicts on whole given tables, with labels that make cutoffs pass; and the cutoffs of each stratum."""
+    from nearfield.llm.quality import cutoffs, features, labelled, measured
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    given = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    r = random.Random(3)
+    noise = spark.createDataFrame([(d["doc_id"], int(r.random() < 0.9)) for d in documents.select("doc_id").collect()], "doc_id long, quality int")
+    for labels, alpha, delta in ((given, 0.02, 0.05), (given, 0.06, 0.2), (noise, 0.05, 0.2), (noise, 0.3, 0.3)):
+        rows = [(x["stratum"], x["quality"], x["shares"], x["holdout"]) for x in labelled(documents, labels).collect()]
+        got = {tuple(x) for x in cutoffs(documents, labels, alpha=alpha, delta=delta).collect()}
+        assert got == cutoffs_brute(rows, alpha, delta)
+        assert alpha < 0.05 or labels is noise or got
+    cuts = {(x["stratum"], x["rule"]): x["cutoff"] for x in cutoffs(documents, given).collect()}
+    kept = {x["doc_id"]: x["__kept"] for x in measured(documents, given).collect()}
+    for x in features(documents).collect():
+        q = x["__quality"]
+        beyond = any(q["shares"][rule] >= c for (s, rule), c in cuts.items() if s == (x["lang"] or ""))
+        assert kept[x["doc_id"]] == (not q["base_failed"] and not beyond)
+
+
+def test_false_rejection_of_all_rules_together_is_bounded(spark):
+    """Labels that tell nothing: over many strata, the share of good documents of fresh rows that the rules reject stays within the bound but for the allowed chance."""
+    from nearfield.llm.quality import ALPHA, cutoffs, features
+
+    word = "translate(substr(md5(concat(id, '-', x)), 1, 2 + int(pmod(hash(id, x, 7), 6))), '01234', 'gh|i#')"
+    rows = spark.range(24_000).selectExpr("id as doc_id", "concat('s', id % 12) as lang", "int(pmod(hash(id, 5), 10) > 0) as quality", f"array_join(transform(sequence(1, 24), x -> {word}), ' ') as text")
+    cuts = {}
+    for x in cutoffs(rows.where("doc_id < 12000").drop("quality"), rows.select("doc_id", "quality")).collect():
+        cuts.setdefault(x["stratum"], []).append((x["rule"], x["cutoff"]))
+    fresh = features(rows.where("doc_id >= 12000 and quality = 1")).where("not __quality.base_failed").select("lang", "__quality.shares").collect()
+    for stratum, own in cuts.items():
+        mine = [x["shares"] for x in fresh if x["lang"] == stratum]
+        assert sum(any(s[r] >= c for r, c in own) for s in mine) / len(mine) <= 1.5 * ALPHA
+
+
+def test_names_that_clash_come_through(spark):
+    """Extra columns named like those on the way keep their values, whatever their case."""
+    from nearfield.llm.line_dedup import without_boilerplate
+    from nearfield.llm.near_dedup import keep_one
+    from nearfield.llm.quality import keep_good, measured
+
+    names = ["__quality", "__KEPT", "__cuts", "__stratum", "__k1", "__places", "__row", "own___row", "a.b"]
+    d = docs(spark, ["one two " * 15, "a b c d e f g h " * 9, " ".join(f"w{i}" for i in range(40))])
+    for n in names:
+        d = d.withColumn(n, F.lit(n))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (keep_good(d, none), keep_one(d), without_boilerplate(d)):
+        assert out.columns[: len(d.columns)] == d.columns
+        for row in out.collect():
+            assert [row[n] for n in names] == names
+    assert measured(d.drop("a.b"), none).count() == 3
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
