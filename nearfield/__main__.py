@@ -1,6 +1,11 @@
-"""Command line: a detection job over $JOB_INPUT/<dataset>/input.txt, or `generate KIND N PATH`.
+"""Command line: a detection job over $JOB_INPUT/<dataset>, or `generate KIND N PATH`, or `generate-stream KIND SERVERS TOPIC FOLDER`.
 
     python -m nearfield --algorithm pmcod --W 10000 --S 500 --k 50 --R 0.45 --dataset STK
+
+`--source file` reads input.txt once; `stream` takes input.txt and files beside it that come later as a stream, `json` does so with
+files of JSON lines, and `queue` reads a message queue. A policy other than static makes a stream of a file too: the
+tree's thresholds move with the costs of the partitions. Counts go to $JOB_OUTPUT/<dataset>, zeros included; a run that
+is repeated writes over them. Adaptive jobs also write costs, the newest costs, adaptations and metrics beside them.
 """
 
 from __future__ import annotations
@@ -12,9 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.config import ALGORITHMS, JobConfig, parse_args, required_env
 from nearfield.operators import partition
-from nearfield.operators.reports import count_lines, report_ids
+from nearfield.operators.outliers import tally
+from nearfield.operators.reports import adaptation_lines, count_lines, latest, parse_cost_lines, to_queue
+from nearfield.plans.adapt import AdaptiveRouter
 from nearfield.plans.strategies import detect_with
 from nearfield.sources import points as src
+from nearfield.streaming.adaptive import Control
+from nearfield.streaming.detect import replay
+
+DECISION = "effective_at long, over array<int>, under array<int>"
+
+
+def tree_of(job: JobConfig, sample: DataFrame) -> partition.Tree:
+    """From the head of the points, sample_size rows."""
+    return partition.Tree.build([r["value"] for r in src.sample_head(sample, job.sample_size).collect()], job.partitions[0], job.R[0], job.distance)
 
 
 def answer(job: JobConfig, points: DataFrame, dims: int) -> DataFrame:
@@ -24,29 +40,73 @@ def answer(job: JobConfig, points: DataFrame, dims: int) -> DataFrame:
     if ALGORITHMS[job.algorithm] != "single" or parts <= 1:
         return detect_with(job.algorithm, points, job.queries, job.distance, space_dims)
     (q,) = job.queries
-    sample = src.sample_head(points, job.sample_size)
-    if job.partitioning == "grid":
-        own = partition.Grid.build(sample, (list(job.partitions) * dims)[:dims])
-    else:
-        own = partition.Tree.build([r["value"] for r in sample.collect()], parts, q.R, job.distance)  # sample_size rows
+    own = tree_of(job, points) if job.partitioning == "tree" else partition.Grid.build(src.sample_head(points, job.sample_size), (list(job.partitions) * dims)[:dims])
     found = partition.partitioned_outliers(partition.route(points, own, q.R), q.W, q.S, q.R, q.k, job.distance, space_dims)
     return found.selectExpr("window_end", f"{q.W}L as W", f"{q.S}L as S", f"cast({q.R} as double) as R", f"{q.k} as k", "id")
 
 
+def _put(lines: DataFrame, path: str, debug: bool) -> None:
+    """To a folder, over what a run before has left there; or, for debugging, to the console."""
+    if debug:
+        for row in lines.toLocalIterator():
+            print(row["line"])
+    else:
+        lines.write.mode("overwrite").text(path)
+
+
+def run_batch(spark: SparkSession, job: JobConfig, folder: str, out: str) -> None:
+    points = src.read_text_points(spark, f"{folder}/input.txt")
+    head = points.first()
+    found = answer(job, points, len(head["value"])) if head else None
+    counts = tally(found, points, job.queries) if head else spark.createDataFrame([], "window_end long, W long, S long, R double, k int, n_outliers long")
+    _put(count_lines(counts), out, job.debug)
+
+
+def run_stream(spark: SparkSession, job: JobConfig, folder: str, out: str) -> Control | None:
+    """The job as a stream, to its present end; what it keeps to go on from there stands in <out>-state."""
+    if job.source == "queue":
+        stream, head = src.stream_kafka_points(spark, job.servers, job.topic), src.parse_text(spark.read.text(f"{folder}/sample.txt"))
+    elif job.source == "json":
+        stream, head = src.stream_json_points(spark, folder), src.parse_json(spark.read.text(folder))
+    else:
+        stream, head = src.stream_text_points(spark, folder), src.read_text_points(spark, folder)
+    first = head.first()
+    dims = len(first["value"]) if first and job.distance == "euclidean" else None
+    control = None
+    if job.policy != "static":
+        (q,) = job.queries
+        router = AdaptiveRouter(tree_of(job, head), q.W, q.R, job.policy, job.adapt_range, job.adapt_queue, job.adapt_over, job.adapt_under, job.buffer_period)
+        control = Control(router, job.adapt_cost)
+
+    def costs(lines: DataFrame, number: int) -> None:
+        _put(lines.select("line"), f"{out}-costs/stretch={number}", job.debug)
+        if not job.debug:
+            newest = latest(parse_cost_lines(lines.select("line")))
+            newest.write.mode("overwrite").parquet(f"{out}-latest")
+
+    replay(spark, stream, job.queries, lambda df, n: _put(count_lines(df), f"{out}/batch={n}", job.debug), f"{out}-state", kind=job.distance, dims=dims, control=control, costs=costs if control else None, counts=True)
+    if control:
+        _put(adaptation_lines(spark.createDataFrame(control.decisions, DECISION)), f"{out}-adaptations", job.debug)
+        _put(spark.createDataFrame([(control.metrics.line(),)], "line string"), f"{out}-metrics", job.debug)
+    return control
+
+
 def main(args: Sequence[str]) -> None:
     spark = SparkSession.builder.appName("nearfield").getOrCreate()
     if args[:1] == ["generate"]:
         kind, n, path = args[1], int(args[2]), args[3]
         src.to_json(src.generated(spark, kind, n)).write.text(path)
         return
+    if args[:1] == ["generate-stream"]:
+        kind, servers, topic, folder = args[1:5]
+        to_queue(src.to_json(src.stream_generated(spark, kind)), servers, topic, folder).awaitTermination()
+        return
     job = parse_args(args)
-    points = src.read_text_points(spark, f"{required_env('JOB_INPUT')}/{job.dataset}/input.txt")
-    found = answer(job, points, len(points.first()["value"]))
-    lines = count_lines(report_ids(found).drop("ids").select("window_end", "W", "S", "R", "k", "n_outliers"))
-    if job.debug:
-        lines.show(1000, truncate=False)
+    folder, out = f"{required_env('JOB_INPUT')}/{job.dataset}", f"{required_env('JOB_OUTPUT')}/{job.dataset}"
+    if job.source == "file" and job.policy == "static":
+        run_batch(spark, job, folder, out)
     else:
-        lines.write.mode("append").text(f"{required_env('JOB_OUTPUT')}/{job.dataset}")
+        run_stream(spark, job, folder, out)
 
 
 if __name__ == "__main__":

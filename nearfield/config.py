@@ -71,6 +71,9 @@ class JobConfig:
     adapt_cost: int = 1
     buffer_period: int = 1
     dataset: str = ""
+    source: str = "file"
+    servers: str = ""
+    topic: str = "points"
     debug: bool = False
     queries: tuple[Query, ...] = field(default=(), compare=False)
 
@@ -79,8 +82,10 @@ class JobConfig:
             raise ValueError(f"unknown algorithm {self.algorithm!r}")
         if self.policy not in ("static", "naive", "advanced") or self.partitioning not in ("grid", "tree"):
             raise ValueError("policy is static, naive or advanced; partitioning is grid or tree")
-        if self.policy != "static" and self.partitioning != "tree":
-            raise ValueError("only a tree can adapt")
+        if self.policy != "static" and (self.partitioning != "tree" or ALGORITHMS[self.algorithm] != "single"):
+            raise ValueError("only a tree can adapt, and for one query")
+        if self.source not in ("file", "stream", "json", "queue") or (self.source == "queue" and not self.servers):
+            raise ValueError("source is file, stream, json or queue; a queue needs servers")
         if min(self.sample_size, self.adapt_queue, self.buffer_period, *self.partitions) < 1 or self.adapt_cost not in (1, 2, 3):
             raise ValueError("sizes are at least 1, adapt_cost is 1, 2 or 3")
         object.__setattr__(self, "queries", tuple(checked(query_product(self.W, self.S, self.R, self.k), ALGORITHMS[self.algorithm])))
@@ -97,7 +102,7 @@ def parse_args(args: Sequence[str]) -> JobConfig:
     for name, kind in (("W", int), ("S", int), ("k", int), ("R", float)):
         p.add_argument(f"--{name}", type=_list(kind), required=True)
     p.add_argument("--partitions", type=_list(int), default=(4,))
-    for name, kind, default in (("policy", str, "static"), ("partitioning", str, "grid"), ("sample_size", int, 10_000), ("distance", str, "euclidean"), ("adapt_range", float, 1.0), ("adapt_queue", int, 5), ("adapt_over", float, 130.0), ("adapt_under", float, 30.0), ("adapt_cost", int, 1), ("buffer_period", int, 1), ("dataset", str, "")):
+    for name, kind, default in (("policy", str, "static"), ("partitioning", str, "grid"), ("sample_size", int, 10_000), ("distance", str, "euclidean"), ("adapt_range", float, 1.0), ("adapt_queue", int, 5), ("adapt_over", float, 130.0), ("adapt_under", float, 30.0), ("adapt_cost", int, 1), ("buffer_period", int, 1), ("dataset", str, ""), ("source", str, "file"), ("servers", str, ""), ("topic", str, "points")):
         p.add_argument(f"--{name}", type=kind, default=default)
     p.add_argument("--debug", action="store_true")
     return JobConfig(**vars(p.parse_args(args)))

@@ -2,15 +2,18 @@
 
 Two equi-keys carry the join: the cell of the first coordinates (cells as wide as the radius, one side repeated into the
 neighbouring cells) and the epoch, a stretch of as many slides as a window has (one side repeated into the neighbouring
-epochs). So a row is copied 3 * 3**d times whatever the window, and no nested-loop join is planned.
+epochs). So a row is copied 3 * 3**d times whatever the window, and no nested-loop join is planned. Sets have no cells:
+those within a Jaccard radius below 1 share one of their first few values, which is the key instead.
 Pairs go straight into a histogram by (point, slide of the neighbour, radius), which is all that any query needs: its
 size is bounded by the slides and radii, not by the density.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nearfield.functions.distance import distance, layer
@@ -41,9 +44,23 @@ def keyed(points: DataFrame, radius: float, slides: int, step: int, kind: str, d
         cell = _cell(i, radius) if radius > 0 else F.col("value")[i] + 0.0
         out = out.withColumn(f"c{i}", _around(cell) if spread and radius > 0 else cell)
         names.append(f"c{i}")
+    if by_prefix(kind, radius):
+        out = out.withColumn("prefix", prefix(F.col("value"), radius)).withColumn("token", F.explode("prefix"))
+        names.append("token")
     return out, names
 
 
+def by_prefix(kind: str, radius: float) -> bool:
+    return kind == "jaccard" and radius < 1
+
+
+def prefix(values: Column, radius: float) -> Column:
+    """The first values of a set, in order, of which two sets within the radius have one in common: a near set shares at least ceil((1 - radius) * n) of the n. The empty set has NaN."""
+    own = F.array_sort(F.array_distinct(values))
+    shared = F.ceil((1 - radius) * F.size(own) - 1e-9).cast("int")
+    return F.when(F.size(own) == 0, F.array(F.lit(float("nan")))).otherwise(F.slice(own, 1, F.greatest(F.lit(1), F.least(F.size(own), F.size(own) - shared + 1))))
+
+
 def neighbor_pairs(points: DataFrame, radius: float, window: int, step: int, kind: str = "euclidean", dims: int | None = None, left: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
     """id, a, sl, nid, na, nsl, d: every ordered pair of points within the radius and within one window's span of slides. left: the points whose neighbours are asked for, if not all; then they are the side that is repeated. within: further columns that must be equal, kept in the result."""
     slides = max(1, window // step)
@@ -51,8 +68,10 @@ def neighbor_pairs(points: DataFrame, radius: float, window: int, step: int, kin
     own, keys = keyed(left if few else points, radius, slides, step, kind, dims, few)
     other, _ = keyed(points, radius, slides, step, kind, dims, not few)
     keys = [*within, *keys]
-    right = other.select(F.col("id").alias("nid"), F.col("a").alias("na"), F.col("sl").alias("nsl"), F.col("value").alias("nvalue"), *keys)
+    right = other.select(F.col("id").alias("nid"), F.col("a").alias("na"), F.col("sl").alias("nsl"), F.col("value").alias("nvalue"), *keys, *([F.col("prefix").alias("nprefix")] if by_prefix(kind, radius) else []))
     met = own.join(right, keys).where((F.col("id") != F.col("nid")) & (F.abs(F.col("sl") - F.col("nsl")) < slides))
+    if by_prefix(kind, radius):  # of several common values the first makes the pair
+        met = met.where(F.col("token") == F.array_min(F.array_intersect("prefix", "nprefix")))
     d = distance(F.col("value"), F.col("nvalue"), kind, dims)
     near = met.where(d <= radius)
     return near.select(*within, "id", "a", "sl", "nid", "na", "nsl", d.alias("d"))
@@ -98,13 +117,24 @@ def layer_recent_k(pairs: DataFrame, radii: Sequence[float], k: int) -> DataFram
 
 
 def k_skyband(pairs: DataFrame, k: int) -> DataFrame:
-    """Neighbours that at most k others dominate, being both closer (or as close) and later."""
-    mine = pairs.select("id", "nid", "na", "d")
-    others = pairs.select(F.col("id"), F.col("nid").alias("onid"), F.col("na").alias("ona"), F.col("d").alias("od"))
-    later = (F.col("ona") > F.col("na")) | ((F.col("ona") == F.col("na")) & (F.col("onid") > F.col("nid")))
-    # one row of each point's own pairs meets another: the equi-key is the point
-    beaten = mine.join(others, "id").where(later & (F.col("od") <= F.col("d"))).groupBy("id", "nid").agg(F.count("*").alias("dominators"))
-    return mine.join(beaten, ["id", "nid"], "left").select("id", "nid", F.coalesce("dominators", F.lit(0)).cast("long").alias("dominators")).where(F.col("dominators") <= k)
+    """Neighbours that at most k others dominate, being both closer (or as close) and later. A point's pairs pass by from the latest back, and only the k + 1 smallest distances so far are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, near = None, []
+        for b in batches:
+            out = []
+            for i, n, d in zip(*(b.column(c).to_pylist() for c in ("id", "nid", "d")), strict=True):
+                if i != point:
+                    point, near = i, []
+                closer = bisect_right(near, d)
+                if closer <= k:
+                    out.append((i, n, closer))
+                    near.insert(closer, d)
+                    del near[k + 1 :]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["id", "nid", "dominators"])
+
+    dealt = pairs.select("id", "nid", "na", "d").repartition("id").sortWithinPartitions("id", *_recent())
+    return dealt.select("id", "nid", "d").mapInArrow(run, "id long, nid long, dominators long")
 
 
 def layered_skyband(pairs: DataFrame, radii: Sequence[float], k: int) -> DataFrame:
@@ -120,7 +150,9 @@ def layered_skyband(pairs: DataFrame, radii: Sequence[float], k: int) -> DataFra
 
 def status_change(pairs: DataFrame, k: int, window: int) -> DataFrame:
     """When each point with k neighbours or more would have fewer, were no others to come: the k-th latest neighbour's expiry."""
-    return pairs.groupBy("id").agg(F.sort_array(F.collect_list("na"), False).alias("t")).where(F.size("t") >= k).select("id", (F.element_at("t", k) + window).alias("changes_at"))
+    # a rank limit is pushed below the shuffle: each task sends k rows of a point at most
+    latest = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*_recent()))).where(F.col("rank") <= k)
+    return latest.where(F.col("rank") == k).select("id", (F.col("na") + window).alias("changes_at"))
 
 
 def dense_cells(members: DataFrame, radius: float, k: int, dims: int) -> DataFrame:
@@ -134,15 +166,36 @@ def cell_of(i: int, radius: float, dims: int) -> Column:
     return F.floor(F.col("value")[i] / F.lit(radius / dims**0.5 * (1 - 1e-9))).cast("long")
 
 
-def knn(queries: DataFrame, points: DataFrame, n: int, kind: str = "euclidean", dims: int | None = None, max_distance: float | None = None) -> DataFrame:
-    """id, nid, d, rank: the n nearest points of each query, ties by id. The queries are a stated set; counted, they are broadcast if few."""
-    d = distance(F.col("qvalue"), F.col("value"), kind, dims)
-    q = queries.select(F.col("id").alias("qid"), F.col("value").alias("qvalue"))
-    if queries.count() <= 20_000:
-        q = F.broadcast(q)
-    met = points.join(q, F.col("id") != F.col("qid")).select(F.col("qid").alias("id"), F.col("id").alias("nid"), d.alias("d"))
-    if max_distance is not None:
-        met = met.where(F.col("d") <= max_distance)
+#: Queries of a block; a block is broadcast.
+QUERY_BLOCK = 20_000
+
+
+def _near(queries: DataFrame, points: DataFrame, radius: float, dims: int) -> DataFrame:
+    """id, nid, d: the points within the radius of each query, itself included, by cells alone. The queries are the side that is repeated."""
+    still = F.lit(0).cast("long")
+    own, names = keyed(queries.select("id", "value", still.alias("a")), radius, 1, 1, "euclidean", dims, True)
+    other, _ = keyed(points.select("id", "value", still.alias("a")), radius, 1, 1, "euclidean", dims, False)
+    keys = names[1:]
+    right = other.select(F.col("id").alias("nid"), F.col("value").alias("nvalue"), *keys)
+    d = distance(F.col("value"), F.col("nvalue"), "euclidean", dims)
+    return own.where("epoch = 0").join(right, keys).select("id", "nid", d.alias("d")).where(F.col("d") <= radius)
+
+
+def knn(queries: DataFrame, points: DataFrame, n: int, kind: str = "euclidean", dims: int | None = None, max_distance: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """id, nid, d, rank: the n nearest points of each query, ties by id. The queries are a stated set. With a largest distance they meet the points of the cells around them; otherwise they are broadcast in blocks, by a hash of their ids, and each block meets all points."""
+    if max_distance is not None and kind == "euclidean" and dims:
+        met = _near(queries, points, max_distance, dims).where("id <> nid")
+    else:
+        d = distance(F.col("qvalue"), F.col("value"), kind, dims)
+        q = queries.select(F.col("id").alias("qid"), F.col("value").alias("qvalue"))
+        blocks = max(1, -(-queries.count() // block))
+        met = None
+        for i in range(blocks):
+            part = F.broadcast(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else q)
+            rows = points.join(part, F.col("id") != F.col("qid")).select(F.col("qid").alias("id"), F.col("id").alias("nid"), d.alias("d"))
+            met = rows if met is None else met.unionByName(rows)
+        if max_distance is not None:
+            met = met.where(F.col("d") <= max_distance)
     # a rank limit is pushed below the shuffle: each task sends n rows of a query at most
     w = Window.partitionBy("id").orderBy("d", "nid")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("id", "nid", "d", "rank")
@@ -150,30 +203,20 @@ def knn(queries: DataFrame, points: DataFrame, n: int, kind: str = "euclidean",
 
 def radius_lookup(queries: DataFrame, points: DataFrame, radius: float, dims: int) -> DataFrame:
     """id, nid: the points within the radius of each query, by cells."""
-    still = F.lit(0).cast("long")
-    own, names = keyed(queries.withColumn("a", still), radius, 1, 1, "euclidean", dims, True)
-    other, _ = keyed(points.withColumn("a", still), radius, 1, 1, "euclidean", dims, False)
-    keys = names[1:]
-    own, right = own.where("epoch = 0"), other.select(F.col("id").alias("nid"), F.col("value").alias("nvalue"), *keys)
-    d = distance(F.col("value"), F.col("nvalue"), "euclidean", dims)
-    return own.join(right, keys).where((F.col("id") != F.col("nid")) & (d <= radius)).select("id", "nid")
+    return _near(queries, points, radius, dims).where("id <> nid").select("id", "nid")
 
 
 def nearest_cluster(points: DataFrame, centers: DataFrame, radius: float, dims: int) -> DataFrame:
-    """id, mc_id, d: the nearest centre within half the radius, of those within three halves; ties by the centre's id."""
-    c = centers.select(F.col("id").alias("mc_id"), F.col("value").alias("center"))
-    if centers.count() <= 20_000:
-        c = F.broadcast(c)
-    d = distance(F.col("value"), F.col("center"), "euclidean", dims)
-    met = points.join(c, d <= 1.5 * radius).select("id", "mc_id", d.alias("d"))
-    best = met.groupBy("id").agg(F.min(F.struct("d", "mc_id")).alias("m"))
+    """id, mc_id, d: the nearest centre within half the radius, of those within three halves, by cells; ties by the centre's id."""
+    met = _near(centers, points, 1.5 * radius, dims)
+    best = met.groupBy(F.col("nid").alias("id")).agg(F.min(F.struct("d", F.col("id").alias("mc_id"))).alias("m"))
     return best.where(F.col("m.d") <= radius / 2).select("id", "m.mc_id", "m.d")
 
 
-def median_threshold(points: DataFrame, origin: Sequence[float]) -> DataFrame:
-    """threshold: the distance to an origin at place n div 2 of the sorted distances, without collecting them: a rank by range partitions."""
+def median_threshold(points: DataFrame, origin: Sequence[float], sample: int | None = None, seed: int = 1) -> DataFrame:
+    """threshold: the distance to an origin at place n div 2 of the sorted distances, without collecting them: a rank by range partitions. sample: of so many points only, chosen by a hash."""
     d = distance(F.col("value"), F.array(*(F.lit(float(x)) for x in origin)), "euclidean", len(origin))
-    rows = points.select(d.alias("d"))
+    rows = (points if sample is None else random_sample(points, sample, seed)).select(d.alias("d"))
     n = rows.count()
     return at_rank(rows, "d", n // 2).select(F.col("d").alias("threshold"))
 

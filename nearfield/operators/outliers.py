@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from nearfield.config import Query, checked, step_of
 from nearfield.operators.neighbors import cell_of, histogram, neighbor_pairs
@@ -22,18 +22,39 @@ def neighbor_histogram(points: DataFrame, queries: Sequence[Query], kind: str =
     return histogram(neighbor_pairs(points, max(q.R for q in queries), max(q.W for q in queries), step_of(queries), kind, dims, left, within), radii_of(queries), within)
 
 
-def window_counts(points: DataFrame, hist: DataFrame, queries: Sequence[Query], within: Sequence[str] = ()) -> DataFrame:
-    """window_end, W, S, id, n0..: neighbours within each radius, of every point in every window it is in; points without any included."""
+#: Slides of a window from which on counts are summed by steps up and down instead of once for each window.
+LONG = 8
+
+
+def window_counts(points: DataFrame, hist: DataFrame, queries: Sequence[Query], within: Sequence[str] = (), long: int = LONG) -> DataFrame:
+    """window_end, W, S, id, n0..: neighbours within each radius, of every point in every window it is in; points without any included.
+
+    In short windows a row of the histogram is repeated for each window that holds both slides, and summed. In long ones, where that would be a row for each slide of the window, it is a step up at the first such window and a step down behind the last, and a running sum over a point's own steps gives the counts."""
     step, radii = step_of(queries), radii_of(queries)
     sl = F.floor(F.col("a") / step)
-    alone = points.select(*within, "id", sl.alias("sl"), sl.alias("nsl"), F.lit(None).cast("int").alias("layer"), F.lit(0).cast("long").alias("c"))
     first, last = F.least("sl", "nsl") * step, F.greatest("sl", "nsl") * step
+    out = None
     spaces = sorted({(q.W, q.S) for q in queries})
-    rows = hist.select(*within, "id", "sl", "nsl", "layer", "c").unionByName(alone)
-    ends = [F.struct(F.lit(W).cast("long").alias("W"), F.lit(S).cast("long").alias("S"), ends_between(first, last, W, S).alias("ends")) for W, S in spaces]
-    dealt = rows.select(*within, "id", "layer", "c", F.explode(F.array(*ends)).alias("w")).select(*within, "id", "layer", "c", "w.W", "w.S", F.explode("w.ends").alias("window_end"))
-    sums = [F.sum(F.when(F.col("layer") <= i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(len(radii))]
-    return dealt.groupBy("window_end", "W", "S", *within, "id").agg(*sums)
+    layers = [F.sum(F.when(F.col("layer") <= i, F.col("c")).otherwise(0)).alias(f"n{i}") for i in range(len(radii))]
+    short = [(W, S) for W, S in spaces if W // step <= long]
+    if short:
+        alone = points.select(*within, "id", sl.alias("sl"), sl.alias("nsl"), F.lit(None).cast("int").alias("layer"), F.lit(0).cast("long").alias("c"))
+        rows = hist.select(*within, "id", "sl", "nsl", "layer", "c").unionByName(alone)
+        ends = [F.struct(F.lit(W).cast("long").alias("W"), F.lit(S).cast("long").alias("S"), ends_between(first, last, W, S).alias("ends")) for W, S in short]
+        dealt = rows.select(*within, "id", "layer", "c", F.explode(F.array(*ends)).alias("w")).select(*within, "id", "layer", "c", "w.W", "w.S", F.explode("w.ends").alias("window_end"))
+        out = dealt.groupBy("window_end", "W", "S", *within, "id").agg(*layers)
+    for W, S in spaces:
+        if (W, S) in short:
+            continue
+        up, down = (F.floor(last / S) + 1) * S, F.floor(first / S) * S + W + S
+        steps = F.explode(F.array(F.struct(up.alias("e"), F.col("c").alias("c")), F.struct(down.alias("e"), (-F.col("c")).alias("c"))))
+        moves = hist.where(up < down).select(*within, "id", "layer", steps.alias("m")).select(*within, "id", "layer", "m.c", F.col("m.e").alias("window_end"), F.lit(False).alias("own"))
+        asked = points.select(*within, "id", F.lit(None).cast("int").alias("layer"), F.lit(0).cast("long").alias("c"), F.explode(ends_between(F.col("a"), F.col("a"), W, S)).alias("window_end"), F.lit(True).alias("own"))
+        frame = Window.partitionBy(*within, "id").orderBy("window_end").rangeBetween(Window.unboundedPreceding, 0)
+        sums = [F.sum(F.when(F.col("layer") <= i, F.col("c")).otherwise(0)).over(frame).alias(f"n{i}") for i in range(len(radii))]
+        counts = moves.unionByName(asked).select("window_end", F.lit(W).cast("long").alias("W"), F.lit(S).cast("long").alias("S"), *within, "id", "own", *sums).where("own").drop("own")
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def _asked(counts: DataFrame, queries: Sequence[Query]) -> DataFrame:
@@ -48,21 +69,6 @@ def outliers_of(counts: DataFrame, queries: Sequence[Query]) -> DataFrame:
     return _asked(counts, queries).where(F.col("n") < F.col("k")).select(*ANSWER)
 
 
-def _dense(points: DataFrame, q: Query, dims: int, by_slide: bool) -> DataFrame:
-    """window_end, id of the points that stand in a dense cell: all inliers. by_slide: cells are counted once a slide, and slides summed up to windows."""
-    cells = [cell_of(i, q.R, dims).alias(f"c{i}") for i in range(dims)]
-    names = [f"c{i}" for i in range(dims)]
-    members = assign_windows(points, q.W, q.S).select("window_end", "id", *cells)
-    if by_slide:
-        sl = F.floor(F.col("a") / q.S)
-        slides = points.select(sl.alias("sl"), *cells).groupBy("sl", *names).agg(F.count("*").alias("c"))
-        ends = slides.withColumn("window_end", F.explode(ends_between(F.col("sl") * q.S, F.col("sl") * q.S, q.W, q.S)))
-        full = ends.groupBy("window_end", *names).agg(F.sum("c").alias("c"))
-    else:
-        full = members.groupBy("window_end", *names).agg(F.count("*").alias("c"))
-    return members.join(full.where(F.col("c") > q.k), ["window_end", *names], "left_semi").select("window_end", "id")
-
-
 def _tightest(queries: Sequence[Query]) -> Query:
     """The smallest radius and window with the largest count: dense for it is dense for all."""
     return Query(min(q.W for q in queries), step_of(queries), min(q.R for q in queries), max(q.k for q in queries))
@@ -72,12 +78,22 @@ def prunable(queries: Sequence[Query], kind: str, dims: int | None) -> bool:
     return kind == "euclidean" and bool(dims) and dims <= 3 and min(q.R for q in queries) > 0
 
 
-def doubtful(points: DataFrame, queries: Sequence[Query], dims: int, by_slide: bool) -> DataFrame:
-    """The points with a window in which their cell is not dense: only their neighbours need counting."""
-    tight = _tightest(queries)
-    members = assign_windows(points.select("id", "a"), tight.W, tight.S).select("window_end", "id")
-    open_ = members.join(_dense(points, tight, dims, by_slide), ["window_end", "id"], "left_anti").select("id").distinct()
-    return points.join(open_, "id", "left_semi")
+def doubtful(points: DataFrame, queries: Sequence[Query], dims: int, by_slide: bool, within: Sequence[str] = (), asked: DataFrame | None = None) -> DataFrame:
+    """The points with a window in which their cell is not dense: only their neighbours need counting, as all in a dense cell are inliers. by_slide: cells are counted once a slide, and slides summed up to windows. within: columns that part the points. asked: those that are asked for, if not all."""
+    q = _tightest(queries)
+    asked = points if asked is None else asked
+    cells = [cell_of(i, q.R, dims).alias(f"c{i}") for i in range(dims)]
+    names = [*within, *(f"c{i}" for i in range(dims))]
+    if by_slide:
+        sl = F.floor(F.col("a") / q.S)
+        slides = points.select(sl.alias("sl"), *within, *cells).groupBy("sl", *names).agg(F.count("*").alias("c"))
+        ends = slides.withColumn("window_end", F.explode(ends_between(F.col("sl") * q.S, F.col("sl") * q.S, q.W, q.S)))
+        full = ends.groupBy("window_end", *names).agg(F.sum("c").alias("c"))
+    else:
+        full = assign_windows(points, q.W, q.S).select("window_end", *within, *cells).groupBy("window_end", *names).agg(F.count("*").alias("c"))
+    members = assign_windows(asked, q.W, q.S).select("window_end", "id", *within, *cells)
+    open_ = members.join(full.where(F.col("c") > q.k).select("window_end", *names), ["window_end", *names], "left_anti").select(*within, "id").distinct()
+    return asked.join(open_, [*within, "id"], "left_semi")
 
 
 def detect(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None, prune: bool = True) -> DataFrame:
@@ -87,12 +103,17 @@ def detect(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean",
     return outliers_of(window_counts(points if left is None else left, neighbor_histogram(points, queries, kind, dims, left), queries), queries)
 
 
-def report(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None) -> DataFrame:
-    """window_end, W, S, R, k, n_outliers, of every window that holds a point, zeros included."""
-    queries = checked(queries)
-    found = detect(points, queries, kind, dims).groupBy("window_end", "W", "S", "R", "k").agg(F.count("*").alias("n_outliers"))
+def tally(found: DataFrame, points: DataFrame, queries: Sequence[Query]) -> DataFrame:
+    """window_end, W, S, R, k, n_outliers, of the outliers found and of every window that holds a point, zeros included."""
+    counts = found.groupBy("window_end", "W", "S", "R", "k").agg(F.count("*").alias("n_outliers"))
     step = step_of(queries)
     slides = points.select((F.floor(F.col("a") / step) * step).alias("a")).distinct()
     options = [F.struct(F.lit(q.W).cast("long").alias("W"), F.lit(q.S).cast("long").alias("S"), F.lit(float(q.R)).alias("R"), F.lit(q.k).alias("k"), ends_between(F.col("a"), F.col("a"), q.W, q.S).alias("ends")) for q in queries]
     none = slides.select(F.explode(F.array(*options)).alias("q")).select(F.explode("q.ends").alias("window_end"), "q.W", "q.S", "q.R", "q.k", F.lit(0).cast("long").alias("n_outliers"))
-    return found.unionByName(none).groupBy("window_end", "W", "S", "R", "k").agg(F.sum("n_outliers").alias("n_outliers"))
+    return counts.unionByName(none).groupBy("window_end", "W", "S", "R", "k").agg(F.sum("n_outliers").alias("n_outliers"))
+
+
+def report(points: DataFrame, queries: Sequence[Query], kind: str = "euclidean", dims: int | None = None) -> DataFrame:
+    """Counts of the outliers of all queries, zeros included."""
+    queries = checked(queries)
+    return tally(detect(points, queries, kind, dims), points, queries)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from nearfield.config import Query
 from nearfield.functions.distance import distance
-from nearfield.operators.outliers import neighbor_histogram, window_counts
+from nearfield.operators.outliers import doubtful, neighbor_histogram, prunable, window_counts
 from nearfield.operators.ranks import at_rank
 from nearfield.operators.windows import reportable
 
@@ -197,6 +197,8 @@ def partitioned_outliers(routed: DataFrame, W: int, S: int, R: float, k: int, ki
     # a copy that only ever serves as a neighbour needs no counts
     left = copies.where((F.col("flag") == 0) | (F.col("countdown") >= 0))
     query = [Query(W, S, R, k)]
+    if prunable(query, kind, dims):
+        left = doubtful(copies, query, dims, True, ["part"], left)
     counts = window_counts(left, neighbor_histogram(copies, query, kind, dims, left, ["part"]), query, ["part"]).where(F.col("n0") < k)
     told = left.select("id", "part", "flag", "countdown")
     return counts.join(told, ["id", "part"]).where(reportable(F.col("flag"), F.col("countdown"), F.col("window_end"))).select("window_end", "id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from nearfield.operators.windows import reportable
+
 QUERY = ["window_end", "W", "S", "R", "k"]
 
 
@@ -38,8 +40,9 @@ def adaptation_lines(decisions: DataFrame) -> DataFrame:
 
 
 def partition_cost(members: DataFrame) -> DataFrame:
-    """part, window_end, cost: the owners in each partition and window. members: part, flag, window_end."""
-    return members.groupBy("part", "window_end").agg(F.count_if(F.col("flag") == 0).alias("cost"))
+    """part, window_end, cost: the owners in each partition and window; while routings overlap, those that report. members: part, flag, window_end[, countdown]."""
+    own = reportable(F.col("flag"), F.col("countdown"), F.col("window_end")) if "countdown" in members.columns else F.col("flag") == 0
+    return members.groupBy("part", "window_end").agg(F.count_if(own).alias("cost"))
 
 
 def cost_lines(costs: DataFrame) -> DataFrame:

@@ -49,13 +49,14 @@ def intervals(status: DataFrame, S: int) -> DataFrame:
 
 
 def slide_ranges(points: DataFrame, queries: Sequence[Query], kind: str, dims: int | None) -> DataFrame:
-    """Counts by slide, summed over the slides of a window by a range frame on each point's own rows."""
+    """Counts by slide, summed over the slides of a window by a range frame on the rows of each point whose cell is not dense."""
     (q,) = queries
     step, span = step_of(queries), q.W // step_of(queries)
-    hist = neighbor_histogram(points, queries, kind, dims)
+    left = doubtful(points, queries, dims, True) if prunable(queries, kind, dims) else points
+    hist = neighbor_histogram(points, queries, kind, dims, None if left is points else left)
     by_slide = hist.groupBy("id", "nsl").agg(F.sum("c").alias("c"))
     # a row with no neighbour for each window, at its newest slide, so that the frame is asked there
-    asked = assign_windows(points.select("id", "a"), q.W, q.S).select("id", (F.col("window_end") / step).cast("long").alias("nsl"), F.lit(0).cast("long").alias("c"), "window_end")
+    asked = assign_windows(left.select("id", "a"), q.W, q.S).select("id", (F.col("window_end") / step).cast("long").alias("nsl"), F.lit(0).cast("long").alias("c"), "window_end")
     rows = by_slide.withColumn("window_end", F.lit(None).cast("long")).unionByName(asked.withColumn("nsl", F.col("nsl") - 1))
     frame = Window.partitionBy("id").orderBy("nsl").rangeBetween(-(span - 1), 0)
     return _answer(rows.withColumn("n", F.sum("c").over(frame)).where(F.col("window_end").isNotNull() & (F.col("n") < q.k)), q)

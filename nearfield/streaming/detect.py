@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nearfield.config import Query, checked, step_of
-from nearfield.operators.outliers import detect
+from nearfield.operators.outliers import detect, tally
 from nearfield.operators.partition import Partitioner, route
-from nearfield.plans.adapt import AdaptiveRouter
+from nearfield.streaming.adaptive import Control, detect_adaptive
 
 OUT = "window_end long, W long, S long, R double, k int, n_outliers long, ids array<long>"
 STATE = "points binary, done long"
@@ -89,9 +89,9 @@ def _progress(spark: SparkSession, path: str) -> dict[str, int | None]:
     return {"done": row["done"], "seen": row["seen"]}
 
 
-def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sink: Callable[[DataFrame, int], None], checkpoint: str, late: int = 0, kind: str = "euclidean", dims: int | None = None, router: AdaptiveRouter | None = None, last: bool = True) -> None:
-    """Runs a stream of points to its end by micro-batches: points are appended to a store in slides; each window whose end the data has passed by the lateness is detected from the store, by the same plan as in batch, and handed to the sink once. How far it has come is written beside the points after each batch, so a restart goes on from there; a batch that is run again writes its points and its answers over the old ones."""
-    queries = checked(queries)
+def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sink: Callable[[DataFrame, int], None], checkpoint: str, late: int = 0, kind: str = "euclidean", dims: int | None = None, control: Control | None = None, costs: Callable[[DataFrame, int], None] | None = None, last: bool = True, counts: bool = False) -> None:
+    """Runs a stream of points to its end by micro-batches: points are appended to a store in slides; each window whose end the data has passed by the lateness is detected from the store, by the same plan as in batch, and handed to the sink once, with a number. How far it has come is written beside the points after each batch, so a restart goes on from there; a batch that is run again writes its points and its answers over the old ones. control: detect by partitions, and let the costs move their thresholds; the sink's number is then the end of a stretch of windows, and costs gets its cost lines. counts: the sink gets the number of outliers of each window, zeros included, instead of the outliers."""
+    queries = checked(queries, "single" if control else None)
     step, span = step_of(queries), max(q.W for q in queries)
     store = f"{checkpoint}/points"
     progress = _progress(spark, f"{checkpoint}/progress")
@@ -112,21 +112,22 @@ def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sin
         if low is None or ready <= low:
             return
         points = spark.read.schema("id long, value array<double>, a long, slide long, batch long").parquet(store).where((F.col("slide") >= (low + step - span) // step) & (F.col("slide") < ready // step)).select("id", "value", "a")
-        found = detect(points, queries, kind, dims).where((F.col("window_end") > low) & (F.col("window_end") <= ready))
-        sink(found, number)
-        if router is not None:
-            _observe(points, low, ready)
-        progress["done"] = ready
 
-    def _observe(points: DataFrame, low: int, ready: int) -> None:
-        from nearfield.operators.reports import partition_cost
-        from nearfield.operators.windows import assign_windows
+        def put(found: DataFrame, held: DataFrame, low: int, high: int, number: int) -> None:
+            rows = tally(found, held, queries) if counts else found
+            sink(rows.where((F.col("window_end") > low) & (F.col("window_end") <= high)), number)
+
+        if control is not None:
+            began = {"at": low}
 
-        members = assign_windows(route(points, router.tree, router.radius), span, step)
-        # a row for each partition and window of this batch
-        rows = partition_cost(members.where((F.col("window_end") > low) & (F.col("window_end") <= ready))).collect()
-        for end in sorted({r["window_end"] for r in rows}):
-            router.observe(end, {r["part"]: float(r["cost"]) for r in rows if r["window_end"] == end})
+            def stretch(found: DataFrame, held: DataFrame, to: int) -> None:
+                put(found, held, began["at"], to, to)
+                began["at"] = to
+
+            detect_adaptive(points, queries[0], control, low, ready, stretch, kind, dims, costs)
+        else:
+            put(detect(points, queries, kind, dims), points, low, ready, number)
+        progress["done"] = ready
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
