@@ -123,11 +123,10 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
     return F.when(x >= n * p, F.lit(1.0)).otherwise(F.aggregate(terms, start, step, lambda acc: acc["total"]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """stratum, quality, shares, holdout of the labelled documents that pass the base (its own verdict is not the measured rules' doing). Labels grow with the documents: both are shuffled, but not the texts."""
+def labelled(counted: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """stratum, quality, shares, holdout of the labelled documents that pass the base (its own verdict is not the measured rules' doing). counted: of features. Labels grow with the documents: both are shuffled, but not the texts."""
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = docs.where("doc_id is not null").select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))
-    passed = features(known).where("not __quality.base_failed").select("doc_id", "stratum", F.col("__quality.shares").alias("shares")).join(picked, "doc_id")
+    passed = counted.where("doc_id is not null and not __quality.base_failed").select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col("__quality.shares").alias("shares")).join(picked, "doc_id")
     return passed.select("stratum", "quality", "shares", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("holdout"))
 
 
@@ -141,9 +140,9 @@ def _beyond(shares: Column, cuts: Column) -> Column:
     return F.exists(cuts, lambda e: F.element_at(shares, e["rule"]) >= e["cutoff"])
 
 
-def proposals_that_pass(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def proposals_that_pass(counted: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, cuts (of rule and cutoff): the strictest proposal that passes in each stratum, on all labelled documents."""
-    known = stored(labelled(docs, labels, stratum), "labelled")
+    known = stored(labelled(counted, labels, stratum), "labelled")
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     grid = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff")) for rule, cuts in GRIDS.items() for c in cuts))
     tested = known.where("not holdout").select("stratum", "quality", "shares", F.explode(grid).alias("g"))
@@ -166,14 +165,16 @@ def proposals_that_pass(docs: DataFrame, labels: DataFrame, stratum: str = "lang
 
 def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, rule, cutoff: those in use."""
-    return proposals_that_pass(docs, labels, stratum, alpha, delta).select("stratum", F.explode("cuts").alias("c")).select("stratum", "c.rule", "c.cutoff")
+    return proposals_that_pass(features(docs), labels, stratum, alpha, delta).select("stratum", F.explode("cuts").alias("c")).select("stratum", "c.rule", "c.cutoff")
 
 
-def measured(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs with the struct column `__quality` (counts, base_failed) and the boolean column `__kept`."""
-    chosen = stored(proposals_that_pass(docs, labels, stratum).select(F.col("stratum").alias("__stratum"), F.col("cuts").alias("__cuts")), "cutoffs")
+def measured(docs: DataFrame, labels: DataFrame, stratum: str = "lang", with_text: bool = True) -> DataFrame:
+    """docs with the struct column `__quality` (counts, base_failed) and the boolean column `__kept`. The features of a text are computed once and stored, with_text or without, for the cutoffs and the verdicts."""
+    counted = features(docs.drop("__quality", "__kept", "__cuts", "__stratum"))
+    counted = stored(counted if with_text else counted.drop("text"), "features")
+    chosen = stored(proposals_that_pass(counted, labels, stratum).select(F.col("stratum").alias("__stratum"), F.col("cuts").alias("__cuts")), "cutoffs")
     few = chosen.count() <= BROADCAST_STRATA
-    judged = features(docs.drop("__quality", "__kept", "__cuts", "__stratum")).join(F.broadcast(chosen) if few else chosen, F.coalesce(F.col(stratum), F.lit("")) == F.col("__stratum"), "left")
+    judged = counted.join(F.broadcast(chosen) if few else chosen, F.coalesce(F.col(stratum), F.lit("")) == F.col("__stratum"), "left")
     kept = ~F.col("__quality.base_failed") & ~F.coalesce(_beyond(F.col("__quality.shares"), F.col("__cuts")), F.lit(False))
     return judged.withColumn("__kept", kept).drop("__cuts", "__stratum")
 

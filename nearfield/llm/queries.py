@@ -103,7 +103,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.quality import measured
 
-    judged = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    judged = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), with_text=False)
     counts = [F.col(f"__quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return judged.select("doc_id", *counts, F.col("__kept").alias("kept"))
 
