@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import io
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearfield.shared import new_path
+from nearfield.shared import new_path, shared_dir
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -27,6 +30,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _model_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/nearfield/models/{name}"
+
+
+def kept_model(spark: SparkSession, name: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a model that an application has left in the shared folder, or None."""
+    try:
+        row = spark.read.schema("model binary").parquet(_model_path(spark, name)).first()
+    except AnalysisException:  # no such path
+        return None
+    return dict(np.load(io.BytesIO(bytes(row["model"])), allow_pickle=False)) if row else None
+
+
+def keep_model(spark: SparkSession, name: str, model: dict[str, np.ndarray]) -> None:
+    """Leaves a model of bounded size in the shared folder, for later applications too."""
+    made = io.BytesIO()
+    np.savez(made, **model)
+    spark.createDataFrame([(bytearray(made.getvalue()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(_model_path(spark, name))
+
+
 def aside(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, list[Column]]:
     """df, in which columns whose names are taken (whatever their case) have others, and the columns under their own names again."""
     names = {t.lower() for t in taken}

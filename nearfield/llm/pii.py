@@ -2,26 +2,36 @@
 
 The patterns give the base spans. The tagger adds spans that the patterns miss: phone numbers without a plus, card and
 network numbers in other groupings, addresses written as "name (at) host (dot) org". It is trained in numpy, by its
-gradient, from labelled spans that a seeded generator sets into invented sentences (SENTENCES of them), so it depends
-on no corpus and is the same at every size. Only stretches round a trigger are tagged: a digit, an @ or a bracketed
-"at"; a span without one is no personal data of these kinds. Each stretch is cut into overlapping windows; the windows'
-scores are merged, nearer to a window's centre weighing more, and one Viterbi decoding of the whole stretch reconciles
-them.
+gradient, from labelled spans of two kinds: SENTENCES invented ones, which a seeded generator makes and which hold the
+forms that no pattern knows, and at most EXAMPLES windows of the corpus for each kind of span, and as many round other
+digits, with the patterns' spans as labels. The windows are the first by a hash of their text and come from two thirds of
+the documents; the last third (crc32 of doc_id, modulo 3, is 1) is never learnt from. Trained weights are kept in
+the shared folder under a hash of what they were learnt from, so that the same input trains once.
+
+Only stretches round a trigger are tagged: a digit, an @ or a bracketed "at"; a span without one is no personal data of
+these kinds. Each stretch is cut into overlapping windows; the windows' scores are merged, nearer to a window's centre
+weighing more, and one Viterbi decoding of the whole stretch reconciles them. A tagged span counts if it is plausible:
+a card number passes Luhn, a network number has four parts, and so on.
 
 Defined cases: a null or empty text has no spans; spans of one kind do not overlap, and those of the tagger overlap no
-base span; repeated rows are judged each on its own; extra columns are ignored by `find_pii`.
+base span; repeated rows are judged each on its own; without documents the invented sentences alone are learnt from;
+extra columns are ignored by `find_pii`.
 """
 
 from __future__ import annotations
 
-import functools
+import bisect
+import hashlib
 import random
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from nearfield.llm.common import keep_model, kept_model, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -87,7 +97,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 # --- labelled spans for training -------------------------------------------------------------------------------------
 
-SENTENCES, SEED, HIDDEN, EMBED, EPOCHS, BATCH = 2000, 11, 20, 12, 9, 50
+SENTENCES, SEED, HIDDEN, EMBED, EPOCHS, BATCH = 2000, 11, 20, 12, 9, 64
+#: Windows of the corpus of each kind that reach the driver at most, and of a text in the sample.
+EXAMPLES, OF_TEXT = 200, 3
 WINDOW, STRIDE, CONTEXT = 96, 48, 24
 _LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
 
@@ -150,10 +162,30 @@ def labelled_sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str,
             else:
                 text += _innocent(r) + r.choice((" ", ". ", ", "))
         text += " ".join(_word(r) for _ in range(r.randint(1, 4)))
-        out.append((text[:WINDOW], [(k, s, e) for k, s, e in spans if e <= WINDOW]))
+        end = min([WINDOW, *(s for _, s, e in spans if s < WINDOW < e)])  # no span is cut
+        out.append((text[:end], [(k, s, e) for k, s, e in spans if e <= end]))
     return out
 
 
+_TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]")
+
+
+def windows_of(text: str) -> Iterator[tuple[str, str, list[tuple[str, int, int]]]]:
+    """(kind, window, spans in it) round base spans, and round a trigger outside of any ("none"). Windows with spans that overlap, or that would cut one, are left out."""
+    base = base_spans(text)
+    tally: dict[str, int] = {}
+    others = [m.span() for m in _TRIGGER.finditer(text) if all(m.end() <= s or e <= m.start() for _, s, e in base)][:OF_TEXT] if len(base) < 100 else []
+    for kind, s, e in [*base, *(("none", *span) for span in others)]:
+        tally[kind] = tally.get(kind, 0) + 1
+        before = (s * 7 + e) % max(1, WINDOW - (e - s))  # where in its window the span stands
+        low = max(0, s - before)
+        high = min(len(text), low + WINDOW)
+        spans = [x for x in base if x[1] < high and low < x[2]]
+        whole = all(low <= x[1] and x[2] <= high for x in spans) and all(x[2] <= y[1] for x, y in zip(spans, spans[1:], strict=False))
+        if tally[kind] <= OF_TEXT and whole:
+            yield kind, text[low:high], [(k, x - low, y - low) for k, x, y in spans]
+
+
 # --- tagger ----------------------------------------------------------------------------------------------------------
 
 _PLAIN = 128
@@ -319,13 +351,6 @@ class Tagger:
         return tags
 
 
-@functools.cache
-def trained() -> Tagger:
-    """The production tagger; trained once in a process, always alike."""
-    return Tagger().fit(labelled_sentences())
-
-
-_TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]")
 _WEIGHT = (1 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2) / WINDOW).astype(np.float32)
 
 
@@ -398,6 +423,23 @@ def tagged_spans(text: str, start: int, tags: np.ndarray) -> list[tuple[str, int
     return out
 
 
+def without_overlaps(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of more that overlap none of base and none before them, in their order."""
+    taken: list[tuple[int, int]] = []  # apart and in order
+    for _, s, e in base:
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    out = []
+    for span in more:
+        k = bisect.bisect_left(taken, (span[2],))
+        if k == 0 or taken[k - 1][1] <= span[1]:
+            taken.insert(k, span[1:])
+            out.append(span)
+    return out
+
+
 def spans_of_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t or "") for t in texts]
@@ -406,23 +448,53 @@ def spans_of_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[list,
     for (k, s, _), tags in zip(places, tag_stretches(tagger, [texts[k][s:e] for k, s, e in places]), strict=True):
         if tags.any():
             added[k] += tagged_spans(texts[k], s, tags)
-    out = []
-    for own, more in zip(base, added, strict=True):
-        spans = list(own)
-        for span in more:
-            if all(span[2] <= s or e <= span[1] for _, s, e in spans):
-                spans.append(span)
-        out.append((own, ordered(spans)))
-    return out
+    return [(own, ordered([*own, *without_overlaps(own, more)])) for own, more in zip(base, added, strict=True)]
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SPANS_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, base and spans: arrays of (kind, start, end), in code points."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained().p)  # some 60 kB whatever the input
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The documents no label is learnt from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def corpus_examples(docs: DataFrame, text: str = "text", most: int = EXAMPLES) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Windows of docs with their base spans, at most so many of each kind: the first by a hash of the window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(kind, zlib.crc32(w.encode("utf-8", "surrogatepass")), w, joined(spans)) for t in b.column(text) if t.is_valid for kind, w, spans in windows_of(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["kind", "h", "window", "spans"])
+
+    found = stored(docs.select(text).mapInArrow(run, "kind string, h long, window string, spans string").dropDuplicates(["h", "window"]), "windows")
+    picked = [r for kind in (*KINDS, "none") for r in found.where(F.col("kind") == kind).orderBy("h", "window").limit(most).collect()]  # windows of WINDOW characters
+    split = lambda line: [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in line.split(",") if x)]
+    return [(r["window"], split(r["spans"])) for r in picked]
+
+
+_trained: dict[str, Tagger] = {}
+
+
+def trained(examples: Sequence[tuple[str, list[tuple[str, int, int]]]] = (), spark: SparkSession | None = None) -> Tagger:
+    """The production tagger: always alike for the same examples, and trained once for them. spark: also look for its weights in the shared folder, and leave them there."""
+    key = hashlib.sha256(repr((sorted(examples), SENTENCES, SEED, HIDDEN, EMBED, EPOCHS, BATCH, WINDOW)).encode("utf-8", "surrogatepass")).hexdigest()[:24]
+    if key not in _trained:
+        model = kept_model(spark, f"pii-{key}") if spark else None
+        if model is None:
+            model = Tagger().fit([*labelled_sentences(), *sorted(examples)]).p
+            if spark:
+                keep_model(spark, f"pii-{key}", model)
+        _trained[key] = Tagger()
+        _trained[key].p = model
+    return _trained[key]
+
+
+def find_pii(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
+    """doc_id, base and spans: arrays of (kind, start, end), in code points. tagger: if none is given, one is trained on docs."""
+    tagger = tagger or trained(corpus_examples(docs.where(~held_out()), text), docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger.p)  # some 60 kB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger()

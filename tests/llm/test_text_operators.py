@@ -88,6 +88,101 @@ def test_tagger_learns_held_out_spans():
     assert hit / (hit + wrong) > 0.9
 
 
+def tagged(tagger, texts):
+    from nearfield.llm.pii import stretches, tag_stretches, tagged_spans
+
+    out = [set() for _ in texts]
+    places = [(k, s, e) for k, t in enumerate(texts) for s, e in stretches(t)]
+    for (k, s, _), tags in zip(places, tag_stretches(tagger, [texts[k][s:e] for k, s, e in places]), strict=True):
+        out[k] |= set(tagged_spans(texts[k], s, tags))
+    return out
+
+
+def test_tagger_on_held_out_documents_and_planted_forms(spark):
+    """Learnt on two thirds of the given documents: on the last third it finds what the patterns find by itself, kind by kind, and next to nothing else; it finds forms that no pattern knows; and it leaves other numbers alone."""
+    from collections import Counter
+
+    from nearfield.llm.pii import KINDS, _digits, _innocent, base_spans, corpus_examples, held_out, luhn, spans_of_texts, trained
+
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    examples = corpus_examples(documents.where(~held_out()))
+    assert examples == corpus_examples(documents.where(~held_out()).orderBy(F.xxhash64("doc_id")))
+    assert all(x in base_spans(w) or w[x[1] : x[2]] for w, spans in examples for x in spans)
+    tagger = trained(examples)
+    texts = [r["text"] for r in documents.where(held_out()).where("text is not null").select("text").collect()]
+    hit, total, other = Counter(), Counter(), 0
+    for text, got in zip(texts, tagged(tagger, texts), strict=True):
+        base = set(base_spans(text))
+        other += len(got - base)
+        for span in base:
+            total[span[0]] += 1
+            hit[span[0]] += span in got
+    assert min(total[k] for k in KINDS) > 40
+    assert min(hit[k] / total[k] for k in KINDS) >= 0.9
+    assert other <= 0.01 * sum(total.values())
+
+    r = random.Random(77)
+    word = lambda: "".join(r.choice("etaoinshrd") for _ in range(r.randint(2, 8)))
+    some = lambda: " ".join(word() for _ in range(6))
+    card = lambda: next(b + d for b in [r.choice("3456") + _digits(r, 14)] for d in "0123456789" if luhn(b + d))
+    forms = {
+        "phone": lambda: r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}")).format(_digits(r, 3), _digits(r, 3), _digits(r, 4)),
+        "ip": lambda: r.choice(("[.]", " . ")).join(str(r.randint(1, 255)) for _ in range(4)),
+        "email": lambda: r.choice(("{} (at) {} (dot) com", "{}[at]{}.org", "{} [at] {} [dot] net")).format(word(), word()),
+        "card": lambda: ".".join(re.findall("....", card())),
+    }
+    for kind, form in forms.items():
+        planted = [(some() + " ", form()) for _ in range(150)]
+        found = spans_of_texts([a + v + " " + some() for a, v in planted], tagger)
+        assert not any((kind, len(a), len(a + v)) in base for (a, v), (base, _) in zip(planted, found, strict=True))
+        assert sum((kind, len(a), len(a + v)) in all_ for (a, v), (_, all_) in zip(planted, found, strict=True)) >= 0.9 * 150
+    clean = [f"{some()} {_innocent(r)} {some()}" for _ in range(1000)]
+    assert sum(len(all_) > len(base) for base, all_ in spans_of_texts(clean, tagger)) <= 10
+
+
+def test_windows_cut_no_span():
+    from nearfield.llm.pii import WINDOW, base_spans, labelled_sentences, windows_of
+
+    r = random.Random(1)
+    for _ in range(200):
+        text = " ".join(r.choice(("word", "1.2.3.4", "a@b.co", "+1 (017) 555-7713", "4845168114407329", "77", "x" * 90)) for _ in range(r.randint(0, 30)))
+        for kind, window, spans in windows_of(text):
+            assert len(window) <= WINDOW
+            assert window in text
+            for k, s, e in spans:
+                assert (k, window[s:e]) in {(b, text[x:y]) for b, x, y in base_spans(text)}
+            assert kind == "none" or kind in {k for k, _, _ in spans}
+    for text, spans in labelled_sentences(300):
+        assert all(e <= len(text) for _, _, e in spans)
+
+
+def test_spans_without_overlaps_by_brute_force():
+    from nearfield.llm.pii import without_overlaps
+
+    r = random.Random(2)
+    some = lambda n: [("ip", s, s + r.randint(1, 12)) for s in sorted(r.randrange(150) for _ in range(n))]
+    for _ in range(300):
+        base, more = some(r.randint(0, 8)), some(r.randint(0, 12))
+        want = []
+        for m in more:
+            if all(m[2] <= s or e <= m[1] for _, s, e in [*base, *want]):
+                want.append(m)
+        assert without_overlaps(base, more) == want
+
+
+def test_weights_are_kept(spark):
+    """In the shared folder, under what they were learnt from."""
+    import numpy as np
+
+    from nearfield.llm.common import keep_model, kept_model
+
+    assert kept_model(spark, "none-such") is None
+    model = {"a": np.arange(6, dtype=np.float32).reshape(2, 3), "b": np.zeros(0)}
+    keep_model(spark, "some", model)
+    got = kept_model(spark, "some")
+    assert all((got[k] == model[k]).all() and got[k].dtype == model[k].dtype for k in model)
+
+
 def test_tagger_gradient():
     import numpy as np
 
@@ -363,7 +458,7 @@ def test_cutoffs_and_verdicts_by_brute_force(spark):
     r = random.Random(3)
     noise = spark.createDataFrame([(d["doc_id"], int(r.random() < 0.9)) for d in documents.select("doc_id").collect()], "doc_id long, quality int")
     for labels, alpha, delta in ((given, 0.02, 0.05), (given, 0.06, 0.2), (noise, 0.05, 0.2), (noise, 0.3, 0.3)):
-        rows = [(x["stratum"], x["quality"], x["shares"], x["holdout"]) for x in labelled(documents, labels).collect()]
+        rows = [(x["stratum"], x["quality"], x["shares"], x["holdout"]) for x in labelled(features(documents), labels).collect()]
         got = {tuple(x) for x in cutoffs(documents, labels, alpha=alpha, delta=delta).collect()}
         assert got == cutoffs_brute(rows, alpha, delta)
         assert alpha < 0.05 or labels is noise or got
@@ -448,6 +543,72 @@ def test_slices_cover_the_whole_text():
         assert set(np.concatenate([_slice(text, e) for e in range(EPOCHS)]).tolist()) == set(range(n))
 
 
+def test_learning_words_are_bounded(spark):
+    """Texts that would pass the bound are left out, whatever their number of rows."""
+    from nearfield.llm import toxicity
+
+    seen, fit = [], toxicity.fit
+    d = docs(spark, ["good " * 200, "bad " * 200, "good " * 5000, "bad grumble " * 100] * 12)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(48)], "doc_id long, quality int, toxic int")
+    toxicity.fit = lambda texts, *more: seen.append(sum(map(len, texts))) or fit(texts, *more)
+    try:
+        for bound in (1500, 10**6):
+            toxicity.train(d, labels, words_in_all=bound)
+    finally:
+        toxicity.fit = fit
+    assert 1000 < seen[0] <= 1500 < seen[1]
+
+
+def test_toxicity_gradient():
+    import numpy as np
+
+    from nearfield.llm.toxicity import Classifier, _gradient, _numbered
+
+    g = np.random.default_rng(4)
+    m = Classifier.new(2)
+    m.table, m.filters, m.weights = m.table.astype(float), {w: f.astype(float) for w, f in m.filters.items()}, g.standard_normal(len(m.weights))
+    m.bias = {w: g.standard_normal(b.shape) * 0.1 for w, b in m.bias.items()}
+    texts = [g.integers(1, 40, (n, 4)) for n in (5, 9, 1, 30)]
+    toxic, balance = np.array([1, 0, 1, 0]), np.array([0.7, 1.3, 0.7, 1.3])
+
+    def loss():
+        rows, numbers, starts = _numbered(texts)
+        z = m.pooled(numbers, starts, rows) @ m.weights + m.offset
+        p = 1 / (1 + np.exp(-z))
+        return float(-(balance * (toxic * np.log(p) + (1 - toxic) * np.log(1 - p))).mean()) + 0.5e-4 * float((m.weights**2).sum())
+
+    grads, used, table = _gradient(m, texts, toxic, balance)
+    step = 1e-5
+    places = [(m.filters[w], (0, 1, 2), grads["filters", w][0, 1, 2]) for w in m.filters] + [(m.bias[w], (3,), grads["bias", w][3]) for w in m.bias] + [(m.weights, (5,), grads["weights"][5])] + [(m.table, (int(u), 1), table[i, 1]) for i, u in enumerate(used[:6])]
+    for array, where, got in places:
+        ends = []
+        for sign in (1, -1):
+            array[where] += sign * step
+            ends.append(loss())
+            array[where] -= sign * step
+        assert got == pytest.approx((ends[0] - ends[1]) / (2 * step), abs=1e-4)
+
+
+def test_thresholds_are_best_for_their_language():
+    """Of the held rows of a language, no cutoff has a better F1."""
+    import numpy as np
+
+    from nearfield.llm.toxicity import Classifier, _calibrate, _numbered
+
+    g = np.random.default_rng(6)
+    m = Classifier.new(3)
+    texts = [g.integers(1, 400, (int(n), 4)).astype(np.int32) for n in g.integers(1, 30, 120)]
+    toxic, langs = g.integers(0, 2, 120), ["de" if x else "en" for x in g.integers(0, 2, 120)]
+    _calibrate(m, texts, toxic, langs)
+    rows, numbers, starts = _numbered(texts)
+    p = 1 / (1 + np.exp(-(m.scale * (m.pooled(numbers, starts, rows) @ m.weights + m.offset).astype(float) + m.shift)))
+    for lang, cut in m.thresholds.items():
+        own = np.array([x == lang for x in langs])
+        f1 = lambda c: 2 * toxic[own & (p >= c)].sum() / ((own & (p >= c)).sum() + toxic[own].sum())
+        assert f1(cut) >= max(map(f1, p[own])) - 1e-9
+    assert set(m.thresholds) == {"de", "en"}
+
+
 def test_convolution_by_brute_force():
     import numpy as np
 
