@@ -78,11 +78,11 @@ def run_stream(spark: SparkSession, job: JobConfig, folder: str, out: str) -> Co
         router = AdaptiveRouter(tree_of(job, head), q.W, q.R, job.policy, job.adapt_range, job.adapt_queue, job.adapt_over, job.adapt_under, job.buffer_period)
         control = Control(router, job.adapt_cost)
 
-    def costs(lines: DataFrame, number: int) -> None:
-        _put(lines.select("line"), f"{out}-costs/stretch={number}", job.debug)
+    def costs(lines: list[str], number: int) -> None:
+        rows = spark.createDataFrame([(x,) for x in lines], "line string")
+        _put(rows, f"{out}-costs/stretch={number}", job.debug)
         if not job.debug:
-            newest = latest(parse_cost_lines(lines.select("line")))
-            newest.write.mode("overwrite").parquet(f"{out}-latest")
+            latest(parse_cost_lines(rows)).write.mode("overwrite").parquet(f"{out}-latest")
 
     replay(spark, stream, job.queries, lambda df, n: _put(count_lines(df), f"{out}/batch={n}", job.debug), f"{out}-state", kind=job.distance, dims=dims, control=control, costs=costs if control else None, counts=True)
     if control:

@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from nearfield.functions.distance import distance, layer
+from nearfield.functions.distance import WRITTEN_OUT, distance, layer, with_distance
 from nearfield.operators.ranks import at_rank, ranked
 
 #: Coordinates that cells are made of; more would copy rows more than it parts them.
@@ -61,20 +61,26 @@ def prefix(values: Column, radius: float) -> Column:
     return F.when(F.size(own) == 0, F.array(F.lit(float("nan")))).otherwise(F.slice(own, 1, F.greatest(F.lit(1), F.least(F.size(own), F.size(own) - shared + 1))))
 
 
+def parting_dims(points: DataFrame, radius: float) -> int:
+    """How many of the first coordinates are worth cells: of many dimensions one often spreads over a few radii only, and then its cells copy rows without parting them."""
+    ends = points.agg(*(F.max(F.col("value")[i]) - F.min(F.col("value")[i]) for i in range(CELL_DIMS))).first()  # one row
+    spreads = [s or 0.0 for s in ends]
+    return next((i for i, s in enumerate(spreads) if s < 6 * radius), CELL_DIMS)
+
+
 def neighbor_pairs(points: DataFrame, radius: float, window: int, step: int, kind: str = "euclidean", dims: int | None = None, left: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
     """id, a, sl, nid, na, nsl, d: every ordered pair of points within the radius and within one window's span of slides. left: the points whose neighbours are asked for, if not all; then they are the side that is repeated. within: further columns that must be equal, kept in the result."""
     slides = max(1, window // step)
     few = left is not None
-    own, keys = keyed(left if few else points, radius, slides, step, kind, dims, few)
-    other, _ = keyed(points, radius, slides, step, kind, dims, not few)
+    parting = dims if kind != "euclidean" or not dims or dims <= WRITTEN_OUT else parting_dims(points, radius)
+    own, keys = keyed(left if few else points, radius, slides, step, kind, parting, few)
+    other, _ = keyed(points, radius, slides, step, kind, parting, not few)
     keys = [*within, *keys]
     right = other.select(F.col("id").alias("nid"), F.col("a").alias("na"), F.col("sl").alias("nsl"), F.col("value").alias("nvalue"), *keys, *([F.col("prefix").alias("nprefix")] if by_prefix(kind, radius) else []))
     met = own.join(right, keys).where((F.col("id") != F.col("nid")) & (F.abs(F.col("sl") - F.col("nsl")) < slides))
     if by_prefix(kind, radius):  # of several common values the first makes the pair
         met = met.where(F.col("token") == F.array_min(F.array_intersect("prefix", "nprefix")))
-    d = distance(F.col("value"), F.col("nvalue"), kind, dims)
-    near = met.where(d <= radius)
-    return near.select(*within, "id", "a", "sl", "nid", "na", "nsl", d.alias("d"))
+    return with_distance(met.select(*within, "id", "a", "sl", "nid", "na", "nsl", "value", "nvalue"), "value", "nvalue", kind, dims, radius)
 
 
 def histogram(pairs: DataFrame, radii: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
@@ -177,8 +183,7 @@ def _near(queries: DataFrame, points: DataFrame, radius: float, dims: int) -> Da
     other, _ = keyed(points.select("id", "value", still.alias("a")), radius, 1, 1, "euclidean", dims, False)
     keys = names[1:]
     right = other.select(F.col("id").alias("nid"), F.col("value").alias("nvalue"), *keys)
-    d = distance(F.col("value"), F.col("nvalue"), "euclidean", dims)
-    return own.where("epoch = 0").join(right, keys).select("id", "nid", d.alias("d")).where(F.col("d") <= radius)
+    return with_distance(own.where("epoch = 0").join(right, keys).select("id", "nid", "value", "nvalue"), "value", "nvalue", "euclidean", dims, radius)
 
 
 def knn(queries: DataFrame, points: DataFrame, n: int, kind: str = "euclidean", dims: int | None = None, max_distance: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
@@ -186,16 +191,14 @@ def knn(queries: DataFrame, points: DataFrame, n: int, kind: str = "euclidean",
     if max_distance is not None and kind == "euclidean" and dims:
         met = _near(queries, points, max_distance, dims).where("id <> nid")
     else:
-        d = distance(F.col("qvalue"), F.col("value"), kind, dims)
         q = queries.select(F.col("id").alias("qid"), F.col("value").alias("qvalue"))
         blocks = max(1, -(-queries.count() // block))
         met = None
         for i in range(blocks):
             part = F.broadcast(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else q)
-            rows = points.join(part, F.col("id") != F.col("qid")).select(F.col("qid").alias("id"), F.col("id").alias("nid"), d.alias("d"))
+            rows = points.join(part, F.col("id") != F.col("qid")).select(F.col("qid").alias("id"), F.col("id").alias("nid"), "qvalue", "value")
             met = rows if met is None else met.unionByName(rows)
-        if max_distance is not None:
-            met = met.where(F.col("d") <= max_distance)
+        met = with_distance(met, "qvalue", "value", kind, dims, max_distance)
     # a rank limit is pushed below the shuffle: each task sends n rows of a query at most
     w = Window.partitionBy("id").orderBy("d", "nid")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("id", "nid", "d", "rank")

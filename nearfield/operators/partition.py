@@ -180,10 +180,12 @@ def route_transition(points: DataFrame, old: Partitioner, new: Partitioner, radi
     a = F.col("a")
     early = route(points.where(a < start), old, radius).withColumn("countdown", F.lit(-1).cast("long"))
     late = route(points.where(a >= end), new, radius).withColumn("countdown", F.lit(-1).cast("long"))
-    mid = points.where((a >= start) & (a < end))
-    both = mid.withColumn("r", F.explode(F.array_union(*(F.transform(p.route(radius), lambda s: s["part"]) for p in (old, new)))))
-    owner = lambda p: F.element_at(F.filter(p.route(radius), lambda s: s["flag"] == 0), 1)["part"]
-    was, will, part = owner(old), owner(new), F.col("r")
+    # a generator of one row: either routing is computed once, however often it is read
+    mid = points.where((a >= start) & (a < end)).withColumn("b", F.explode(F.array(F.struct(old.route(radius).alias("o"), new.route(radius).alias("n")))))
+    parts = lambda r: F.transform(r, lambda s: s["part"])
+    owner = lambda r: F.element_at(F.filter(r, lambda s: s["flag"] == 0), 1)["part"]
+    both = mid.select(*points.columns, owner(F.col("b.o")).alias("was"), owner(F.col("b.n")).alias("will"), F.explode(F.array_union(parts(F.col("b.o")), parts(F.col("b.n")))).alias("part"))
+    was, will, part = F.col("was"), F.col("will"), F.col("part")
     flag = F.when(part == will, 0).otherwise(1)
     countdown = F.when(was == will, F.lit(-1)).when((part == will) | (part == was), F.lit(end)).otherwise(F.lit(-1)).cast("long")
     moved = both.select(*points.columns, part.alias("part"), flag.alias("flag"), countdown.alias("countdown"))

@@ -39,10 +39,12 @@ def adaptation_lines(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.concat(F.lit('adaptations Overload="'), text("over"), F.lit('",Underload="'), text("under"), F.lit('" '), F.col("effective_at").cast("string")).alias("line"))
 
 
-def partition_cost(members: DataFrame) -> DataFrame:
-    """part, window_end, cost: the owners in each partition and window; while routings overlap, those that report. members: part, flag, window_end[, countdown]."""
+def partition_cost(members: DataFrame, S: int | None = None) -> DataFrame:
+    """part, window_end, cost: the owners in each partition and window; while routings overlap, those that report. members: part, flag, window_end[, countdown]. S: also owners and replicas that the newest slide of that length has brought."""
     own = reportable(F.col("flag"), F.col("countdown"), F.col("window_end")) if "countdown" in members.columns else F.col("flag") == 0
-    return members.groupBy("part", "window_end").agg(F.count_if(own).alias("cost"))
+    new = F.lit(False) if S is None else F.col("a") >= F.col("window_end") - S
+    more = [] if S is None else [F.count_if(new & (F.col("flag") == 0)).alias("owners"), F.count_if(new & (F.col("flag") == 1)).alias("replicas")]
+    return members.groupBy("part", "window_end").agg(F.count_if(own).alias("cost"), *more)
 
 
 def cost_lines(costs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def policy_advanced(costs: DataFrame, upper: float = 130.0, lower: float = 30.0,
 
 @dataclass
 class AdaptiveRouter:
-    """The control loop, on the driver: it holds a queue of costs for each partition, no rows. A decision takes effect after a buffer; then two routings overlap for a window; no new one is made meanwhile."""
+    """The control loop, on the driver: it holds a queue of costs for each partition, no rows. A decision takes effect after a buffer; then two routings overlap for a window; no new one is made meanwhile. version: how many trees have come into force. A static policy observes and never decides; it takes any partitioner."""
 
     tree: Tree
     window: int
@@ -56,9 +56,12 @@ class AdaptiveRouter:
     buffer_at: int = 0
     stable_at: int = 0
     adaptations: int = 0
+    version: int = 0
 
     def decide(self) -> tuple[list[int], list[int]]:
         """Overloaded and underloaded partitions now."""
+        if self.policy == "static":
+            return [], []
         last = {p: h[-1] for p, h in self.history.items()}
         mean = sum(last.values()) / len(last) if last else 0
         if not mean:
@@ -75,7 +78,7 @@ class AdaptiveRouter:
             self.history.setdefault(p, deque(maxlen=self.queue)).append(costs.get(p, 0.0))
         if self.pending is not None:
             if window_end >= self.stable_at:
-                self.tree, self.pending = self.pending, None
+                self.tree, self.pending, self.version = self.pending, None, self.version + 1
                 self.history.clear()
             return None
         over, under = self.decide()

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearfield.config import ALGORITHMS, Query, query_product
+from nearfield.config import ALGORITHMS, Query, query_product, step_of
+from nearfield.functions import distance
 from nearfield.operators import neighbors, outliers, partition, reports, windows
 from nearfield.plans import adapt, strategies
 from nearfield.sources import points as src
+from nearfield.streaming.adaptive import Control, detect_adaptive
 
 HOUR = 3_600_000_000
 W1, S1, R1, K1 = 24 * HOUR, 6 * HOUR, 2.005, 5
@@ -109,12 +111,24 @@ def report_lines(spark, sf_dir):
     return reports.line_protocol(outliers_report_counts(spark, sf_dir))
 
 
+@registered(f"SELECT 'outliers,W=' || W || ',S=' || S || ',k=' || k || ',R=' || R || ' Outliers=' || count(*) || 'i,IDs=\"' || string_agg(id::VARCHAR, ',' ORDER BY id) || '\" ' || window_end AS line FROM ({answers(SINGLE)}) GROUP BY window_end, W, S, R, k")
+def report_lines_ids(spark, sf_dir):
+    """Lines of a time series with the ids as a field."""
+    return reports.line_protocol(outliers_report_ids(spark, sf_dir))
+
+
 @registered(f"SELECT concat_ws(';', window_end, W, S, R, k, n_outliers) AS line FROM ({tallies(SINGLE)})")
 def report_text(spark, sf_dir):
     """Counts as text lines."""
     return reports.count_lines(outliers.report(src.events(spark, sf_dir), SINGLE, dims=1))
 
 
+@registered(brute_force(W1, HOUR, R1, K1))
+def outliers_long(spark, sf_dir):
+    """Windows of many slides: counts go up and down by steps."""
+    return outliers.detect(src.events(spark, sf_dir), [Query(W1, HOUR, R1, K1)], dims=1).select("window_end", "id")
+
+
 def _strategy(name: str, queries: list[Query]) -> None:
     @registered(answers(queries), f"strategy_{name}")
     def run(spark, sf_dir):
@@ -235,6 +249,14 @@ def knn(spark, sf_dir):
     return neighbors.knn(p.where("id % 100 = 0"), p, 10, dims=64).select("id", "nid", "rank")
 
 
+@registered(f"""WITH {P}, m AS (SELECT l.id, r.id AS nid, sqrt(pow(l.x-r.x,2)) AS d FROM p l JOIN p r ON l.id % 100 = 0 AND l.id <> r.id AND sqrt(pow(l.x-r.x,2)) <= 0.505)
+SELECT id, nid, rank FROM (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY d, nid)::INTEGER AS rank FROM m) WHERE rank <= 5""")
+def knn_within(spark, sf_dir):
+    """The five nearest of every hundredth point, no farther than a bound: by cells."""
+    p = src.events(spark, sf_dir)
+    return neighbors.knn(p.where("id % 100 = 0"), p, 5, dims=1, max_distance=0.505).select("id", "nid", "rank")
+
+
 @registered(f"WITH {P} SELECT l.id, r.id AS nid FROM p l JOIN p r ON l.id % 100 = 0 AND l.id <> r.id AND sqrt(pow(l.x-r.x,2)) <= 0.505")
 def radius_lookup(spark, sf_dir):
     """All points near every hundredth one, whatever their times."""
@@ -260,6 +282,43 @@ def stride_sample(spark, sf_dir):
     return neighbors.stride_sample(src.events(spark, sf_dir), 100)
 
 
+@registered()
+def random_sample(spark, sf_dir):
+    """A hundred points by a seeded hash."""
+    return neighbors.random_sample(src.events(spark, sf_dir), 100).select("id")
+
+
+# --- functions ---------------------------------------------------------------------------------------------------------
+
+
+@registered("SELECT event_id AS id, event_id > 0 AND event_id & (event_id - 1) = 0 AS power FROM events")
+def power_of_two(spark, sf_dir):
+    return src.events(spark, sf_dir).select("id", distance.is_power_of_two(F.col("id")).alias("power"))
+
+
+@registered(f"WITH {P} SELECT id, {HOUR} + (a - {HOUR}) // {S1} * {S1} AS slide FROM p")
+def slide_of_arrival(spark, sf_dir):
+    """Where the slide of each arrival begins, counted from a start."""
+    return src.events(spark, sf_dir).select("id", distance.slide_start(F.col("a"), S1, HOUR).alias("slide"))
+
+
+@registered("SELECT count(*) AS n_points, count(DISTINCT value) AS n_hashes FROM events")
+def vector_hash(spark, sf_dir):
+    """Equal coordinates have one hash, others others."""
+    return src.events(spark, sf_dir).agg(F.count("*").alias("n_points"), F.count_distinct(distance.vector_hash(F.col("value"))).alias("n_hashes"))
+
+
+@registered(f"WITH {_SETS} SELECT id, list_contains(v, 3.0) AS found FROM p")
+def contains_value(spark, sf_dir):
+    return src.order_sets(spark, sf_dir).select("id", distance.contains(F.col("value"), 3.0).alias("found"))
+
+
+@registered(f"SELECT gcd({S1}, {12 * HOUR})::BIGINT AS step")
+def shared_step(spark, sf_dir):
+    """The slide that all queries share."""
+    return spark.createDataFrame([(step_of(RKWS),)], "step long")
+
+
 # --- windows -----------------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +409,11 @@ def vptree_route(spark, sf_dir):
     return routed.groupBy("id").agg(F.count_if(F.col("flag") == 0).alias("owners"))
 
 
+@registered("SELECT i::INTEGER AS part FROM range(1, 9) t(i)")
+def vptree_partitions(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in _tree(spark, sf_dir, 3).partitions()], "part int")
+
+
 @registered(brute_force(W1, S1, R1, K1))
 def adaptive_outliers(spark, sf_dir):
     """Thresholds move in mid-stream, and the answer stays."""
@@ -374,6 +438,12 @@ def cost_lines(spark, sf_dir):
     return reports.cost_lines(partition_cost(spark, sf_dir))
 
 
+@registered(f"{_COSTS} SELECT part, cost FROM costs WHERE window_end = (SELECT max(window_end) FROM costs)")
+def latest_costs(spark, sf_dir):
+    """What a store with one key holds at the end."""
+    return reports.latest(partition_cost(spark, sf_dir))
+
+
 _FULL = f"{_COSTS}, f AS (SELECT e.window_end, i::INTEGER AS part, coalesce(cost, 0) AS cost FROM (SELECT DISTINCT window_end FROM costs) e CROSS JOIN range({CUTS}) t(i) LEFT JOIN costs c ON c.window_end = e.window_end AND c.part = i), m AS (SELECT window_end, avg(cost) AS mean FROM f GROUP BY 1)"
 
 
@@ -386,13 +456,24 @@ def policy_naive(spark, sf_dir):
     return adapt.policy_naive(_full_costs(spark, sf_dir), 105.0)
 
 
-@registered(f"""{_FULL}, h AS (SELECT *, list(cost) OVER (PARTITION BY part ORDER BY window_end ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS past FROM f)
+_ADVANCED = f"""{_FULL}, h AS (SELECT *, list(cost) OVER (PARTITION BY part ORDER BY window_end ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS past FROM f)
 SELECT window_end, part, CASE WHEN cost * 100 / mean >= 102 THEN 'over' ELSE 'under' END AS load FROM h JOIN m USING (window_end)
-WHERE mean > 0 AND len(past) = 3 AND len(list_filter(past, lambda c: abs(c * 100 / mean - cost * 100 / mean) <= 5.0)) = 3 AND (cost * 100 / mean >= 102 OR cost * 100 / mean < 98)""")
+WHERE mean > 0 AND len(past) = 3 AND len(list_filter(past, lambda c: abs(c * 100 / mean - cost * 100 / mean) <= 5.0)) = 3 AND (cost * 100 / mean >= 102 OR cost * 100 / mean < 98)"""
+
+
+@registered(_ADVANCED)
 def policy_advanced(spark, sf_dir):
     return adapt.policy_advanced(_full_costs(spark, sf_dir), 102.0, 98.0, queue=3)
 
 
+@registered(f"""SELECT 'adaptations Overload="' || coalesce(string_agg(part::VARCHAR, ';' ORDER BY part) FILTER (load = 'over'), '-') || '",Underload="' || coalesce(string_agg(part::VARCHAR, ';' ORDER BY part) FILTER (load = 'under'), '-') || '" ' || (window_end + {W1}) AS line FROM ({_ADVANCED}) GROUP BY window_end""")
+def adaptation_report(spark, sf_dir):
+    """Decisions as points of a time series."""
+    of = lambda load: F.array_sort(F.collect_list(F.when(F.col("load") == load, F.col("part"))))
+    by = policy_advanced(spark, sf_dir).groupBy("window_end").agg(of("over").alias("over"), of("under").alias("under"))
+    return reports.adaptation_lines(by.select((F.col("window_end") + W1).alias("effective_at"), "over", "under"))
+
+
 # --- sources -----------------------------------------------------------------------------------------------------------
 
 
@@ -430,3 +511,39 @@ def stream_outliers(spark, sf_dir):
     from nearfield.streaming.runs import replay_table
 
     return replay_table(spark, src.events(spark, sf_dir), SINGLE, dims=1).select("window_end", "id")
+
+
+def _control(partitioner, policy: str, buffer_period: int) -> Control:
+    return Control(adapt.AdaptiveRouter(partitioner, W1, R1, policy, over=105.0, buffer_period=buffer_period))
+
+
+def _controlled(spark, sf_dir, control: Control) -> None:
+    """The costs of the whole table in stretches of windows; the answers are not asked for."""
+    p = src.events(spark, sf_dir)
+    low, high = p.agg(F.min("a"), F.max("a")).first()
+    detect_adaptive(p, SINGLE[0], control, low // S1 * S1, (high // S1 + W1 // S1) * S1, lambda *_: None, dims=1)
+
+
+@registered(brute_force(W1, S1, R1, K1))
+def adaptive_stream_outliers(spark, sf_dir):
+    """A stream by partitions whose thresholds move with their costs: the answer stays."""
+    from nearfield.streaming.runs import replay_table
+
+    return replay_table(spark, src.events(spark, sf_dir), SINGLE, dims=1, control=_control(_tree(spark, sf_dir), "naive", 5)).select("window_end", "id")
+
+
+@registered()
+def adaptations(spark, sf_dir):
+    """What the naive policy decides over the whole table."""
+    control = _control(_tree(spark, sf_dir), "naive", 5)
+    _controlled(spark, sf_dir, control)
+    return reports.adaptation_lines(spark.createDataFrame(control.decisions, "effective_at long, over array<int>, under array<int>"))
+
+
+@registered(f"WITH {P}, {_CUTS}, {_ROUTED}, w AS ({_members(W1, S1, 'routed')}) SELECT count(DISTINCT we) AS slides, count(*) FILTER (a >= we - {S1} AND part = own) AS owners, count(*) FILTER (a >= we - {S1} AND part <> own) AS replicas, 0::BIGINT AS adaptations FROM w")
+def stream_metrics(spark, sf_dir):
+    """The counters of a job on a grid."""
+    control = _control(_grid(spark, sf_dir), "static", 10)
+    _controlled(spark, sf_dir, control)
+    m = control.metrics
+    return spark.createDataFrame([(m.slides, m.owners, m.replicas, m.adaptations)], "slides long, owners long, replicas long, adaptations long")

@@ -12,13 +12,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame, functions as F
 
 from nearfield.config import Query
 from nearfield.operators.partition import partitioned_outliers, route, route_transition
-from nearfield.operators.reports import cost_lines, partition_cost
-from nearfield.operators.windows import assign_windows, slide_counts
+from nearfield.operators.reports import partition_cost
+from nearfield.operators.windows import assign_windows
 from nearfield.plans.adapt import AdaptiveRouter
 from nearfield.sources.points import feedback
 
@@ -89,7 +90,7 @@ class Control:
         return ms if self.cost_kind == TIME else {p: ms[p] * c for p, c in owners.items()}
 
 
-def detect_adaptive(points: DataFrame, q: Query, control: Control, low: int, ready: int, sink: Callable[[DataFrame, DataFrame, int], None], kind: str = "euclidean", dims: int | None = None, costs: Callable[[DataFrame, int], None] | None = None) -> None:
+def detect_adaptive(points: DataFrame, q: Query, control: Control, low: int, ready: int, sink: Callable[[DataFrame, DataFrame, int], None], kind: str = "euclidean", dims: int | None = None, costs: Callable[[list[str], int], None] | None = None) -> None:
     """The windows with low < end <= ready. sink gets each stretch's outliers (window_end, W, S, R, k, id), the points they were found among and the end of the stretch; costs gets its cost lines."""
     stretch, at = max(control.router.buffer_period * q.W // q.S, 1) * q.S, low
     while at < ready:
@@ -101,9 +102,12 @@ def detect_adaptive(points: DataFrame, q: Query, control: Control, low: int, rea
         sink(found.selectExpr("window_end", f"{q.W}L as W", f"{q.S}L as S", f"cast({q.R} as double) as R", f"{q.k} as k", "id"), held, to)
         ms = (time.monotonic() - began) * 1000
         members = assign_windows(routed, q.W, q.S).where(due)
-        control.metrics.add(slide_counts(members, q.S).collect(), ms)  # a row for each window of the stretch
-        lines = cost_lines(partition_cost(members))
+        # a row for each partition and window of the stretch, on the driver
+        rows = sorted(partition_cost(members, q.S).collect(), key=lambda r: (r["window_end"], r["part"]))
+        by_end = {end: list(own) for end, own in groupby(rows, key=lambda r: r["window_end"])}
+        control.metrics.add([{"owners": sum(r["owners"] for r in own), "replicas": sum(r["replicas"] for r in own)} for own in by_end.values()], ms)
+        lines = [";".join([str(end), *(f"{r['part']};{r['cost']}" for r in own)]) for end, own in by_end.items()]
         if costs is not None:
             costs(lines, to)
-        control.heed([r["line"] for r in lines.collect()])  # likewise
+        control.heed(lines)
         at = to

@@ -89,7 +89,7 @@ def _progress(spark: SparkSession, path: str) -> dict[str, int | None]:
     return {"done": row["done"], "seen": row["seen"]}
 
 
-def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sink: Callable[[DataFrame, int], None], checkpoint: str, late: int = 0, kind: str = "euclidean", dims: int | None = None, control: Control | None = None, costs: Callable[[DataFrame, int], None] | None = None, last: bool = True, counts: bool = False) -> None:
+def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sink: Callable[[DataFrame, int], None], checkpoint: str, late: int = 0, kind: str = "euclidean", dims: int | None = None, control: Control | None = None, costs: Callable[[list[str], int], None] | None = None, last: bool = True, counts: bool = False) -> None:
     """Runs a stream of points to its end by micro-batches: points are appended to a store in slides; each window whose end the data has passed by the lateness is detected from the store, by the same plan as in batch, and handed to the sink once, with a number. How far it has come is written beside the points after each batch, so a restart goes on from there; a batch that is run again writes its points and its answers over the old ones. control: detect by partitions, and let the costs move their thresholds; the sink's number is then the end of a stretch of windows, and costs gets its cost lines. counts: the sink gets the number of outliers of each window, zeros included, instead of the outliers."""
     queries = checked(queries, "single" if control else None)
     step, span = step_of(queries), max(q.W for q in queries)

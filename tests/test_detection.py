@@ -162,3 +162,68 @@ def test_skybands_by_hand(spark):
     assert {r["nid"] for r in neighbors.layered_skyband(pairs, [0.6, 1.0], 2).collect()} == {1, 3, 4}
     assert neighbors.status_change(pairs, 3, 100).first()["changes_at"] == 102
     assert neighbors.random_sample(pairs.select(F.col("nid").alias("id")), 2).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["euclidean", "jaccard"])
+def test_long_windows(spark, kind):
+    """Steps up and down give the counts of repeated rows, for several spaces at once."""
+    points = spread(9, 70, 2, times=90) if kind == "euclidean" else [(i, [v // 3 for v in x], a) for i, x, a in spread(9, 40, 4, times=90)]
+    queries = query_product([60, 20], [2, 10], [0.65, 1.55] if kind == "euclidean" else [0.41, 0.71], [2, 4])
+    answer = outliers.detect(frame(spark, points), queries, kind, 2 if kind == "euclidean" else None).cache()
+    for q in queries:
+        assert found(answer, q) == brute(points, q, kind)
+
+
+def test_skyband_by_brute_force(spark):
+    r = random.Random(4)
+    rows = [(i, 99, n, r.randrange(20), r.randrange(12) / 4) for i in range(15) for n in range(40)]
+    pairs = spark.createDataFrame(rows, "id long, a long, nid long, na long, d double")
+    later = lambda x, y: (y[3], y[2]) > (x[3], x[2])
+    for k in (0, 1, 3):
+        want = {(x[0], x[2]): n for x in rows if (n := sum(x[0] == y[0] and later(x, y) and y[4] <= x[4] for y in rows)) <= k}
+        assert {(x["id"], x["nid"]): x["dominators"] for x in neighbors.k_skyband(pairs, k).collect()} == want
+
+
+def test_nearest_in_blocks_and_cells(spark):
+    points = spread(6, 120, 2)
+    p = frame(spark, points)
+    q = p.where("id % 4 = 0")
+    d = partition.vector_distance
+    for most in (None, 1.5):
+        want = {}
+        for i, v, _ in points:
+            if i % 4 == 0:
+                near = sorted((d(v, w, "euclidean"), j) for j, w, _ in points if j != i and (most is None or d(v, w, "euclidean") <= most))
+                want |= {(i, j): rank for rank, (_, j) in enumerate(near[:3], 1)}
+        for block in (7, 1000):
+            assert {(x["id"], x["nid"]): x["rank"] for x in neighbors.knn(q, p, 3, dims=2, max_distance=most, block=block).collect()} == want
+    best = {}
+    for i, v, _ in points:
+        near = sorted((d(v, w, "euclidean"), j) for j, w, _ in points if j % 4 == 0)
+        if near[0][0] <= 0.75:
+            best[i] = near[0][1]
+    assert {x["id"]: x["mc_id"] for x in neighbors.nearest_cluster(p, q, 1.5, 2).collect()} == best
+    sets = frame(spark, [(i, [float(x) for x in range(i % 5)], i % 7) for i in range(30)])
+    many = [Query(10, 1, 1.0, 2), Query(10, 1, 2.0, 2)]
+    grid = partition.Grid(((3.0, 6.0), ()))
+    plans = [neighbors.knn(q, p, 3, dims=2, max_distance=1.5), neighbors.nearest_cluster(p, q, 1.5, 2), neighbors.radius_lookup(q, p, 1.0, 2), outliers.detect(sets, [Query(10, 5, 0.4, 2)], "jaccard"), outliers.detect(p, many, dims=2), partition.partitioned_outliers(partition.route(p, grid, 1.0), 10, 5, 1.0, 2, dims=2), neighbors.k_skyband(neighbors.neighbor_pairs(p, 1.0, 10, 5, dims=2), 2)]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan
+        assert "Cartesian" not in plan
+
+
+def test_sampled_median(spark):
+    p = frame(spark, spread(2, 200, 1))
+    whole = neighbors.median_threshold(p, [3.0]).first()["threshold"]
+    assert neighbors.median_threshold(p, [3.0], sample=200).first()["threshold"] == whole
+    assert abs(neighbors.median_threshold(p, [3.0], sample=100).first()["threshold"] - whole) < 2
+
+
+def test_pairs_in_partitions_are_pruned(spark):
+    """A dense cell's points are no left side of the join within their partition either."""
+    from nearfield.operators.outliers import doubtful
+
+    p = frame(spark, [(i, [0.01 * i], 1) for i in range(40)] + [(100, [5.0], 1)])
+    routed = partition.route(p, partition.Grid(((2.0,),)), 1.0)
+    assert [r["id"] for r in doubtful(routed, [Query(10, 5, 1.0, 3)], 1, True, ["part"], routed.where("flag = 0")).collect()] == [100]
