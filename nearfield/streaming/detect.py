@@ -97,7 +97,8 @@ def replay(spark: SparkSession, stream: DataFrame, queries: Sequence[Query], sin
     progress = _progress(spark, f"{checkpoint}/progress")
 
     def batch(df: DataFrame, number: int) -> None:
-        df.withColumn("slide", F.floor(F.col("a") / step)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slide").parquet(f"{store}/batch={number}")
+        # few files a slide; a hot slide is split
+        df.withColumn("slide", F.floor(F.col("a") / step)).hint("rebalance", "slide").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slide").parquet(f"{store}/batch={number}")
         bounds = df.agg(F.min("a").alias("low"), F.max("a").alias("high")).first()
         if bounds["low"] is None:
             return
