@@ -141,5 +141,58 @@ FROM e GROUP BY conv_id
 """
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def _op5_sql() -> str:
+    from nearfield.llm.quality import ALPHA, DELTA, GRIDS, LEVELS, MAX_REPEAT, MIN_WORDS, REPEAT_WINDOW as W
+
+    grid = ", ".join(f"('{rule}', {float(c)}::DOUBLE)" for rule, cuts in GRIDS.items() for c in cuts)
+    levels = ", ".join(f"({i}, {float(x)}::DOUBLE)" for i, x in enumerate(LEVELS))
+    shares = {"symbol_share": "n_symbols / chars", "dup_line_share": "n_dup_lines / n_lines", "repeat_share": "n_repeat_words / n", "long_words": "chars / n", "short_words": "n_short / n", "bar_share": "n_bars / n", "digit_share": "n_digits / chars"}
+    rules = " UNION ALL ".join(f"SELECT r, '{rule}' AS rule, ({share})::DOUBLE AS share FROM f" for rule, share in shares.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE[1:]}')) AS lines FROM d),
+g AS (SELECT r, k, array_to_string(w[k:k + {W - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {W - 2})) AS k FROM d WHERE len(w) >= {W})),
+c AS (SELECT r, count(DISTINCT x) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + {W})) AS x FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1) GROUP BY r),
+f AS (SELECT r, doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(len(lines), 1) AS n_lines, len(list_filter(w, lambda x: length(x) <= 2)) AS n_short,
+  length(regexp_replace(t, '[^|]+', '', 'g')) AS n_bars, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digits, greatest(len(w), 1) AS n, greatest(word_chars, 1) AS chars,
+  len(w) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT} * len(w) AS base_failed FROM d JOIN l USING (r) LEFT JOIN c USING (r)),
+s AS ({rules}),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT r, stratum, quality, right(md5(doc_id::VARCHAR), 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS holdout FROM f JOIN q USING (doc_id) WHERE NOT base_failed),
+counts AS (SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND share >= cutoff) AS x, count(*) FILTER (quality = 0 AND share >= cutoff) AS bad
+  FROM k JOIN s USING (r) JOIN (VALUES {grid}) v(rule, cutoff) USING (rule) WHERE NOT holdout GROUP BY ALL),
+p AS (SELECT stratum, level, rule, min(cutoff) AS cutoff FROM counts, (VALUES {levels}) v(level, share) WHERE bad > 0 AND x <= share * n GROUP BY ALL),
+o AS (SELECT stratum, r, quality, level, bool_or(share >= cutoff) AS out FROM k JOIN p USING (stratum) JOIN s USING (r, rule) WHERE holdout GROUP BY ALL),
+a AS (SELECT stratum, level, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND out) AS x FROM o GROUP BY ALL),
+v AS (SELECT stratum, level, CASE WHEN x >= n * {ALPHA} THEN 1 ELSE list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END <= {DELTA} / (SELECT count(DISTINCT stratum) FROM k WHERE holdout) AS safe FROM a),
+m AS (SELECT stratum, max(level) AS level FROM v JOIN (SELECT stratum, coalesce(min(level) FILTER (NOT safe), {len(LEVELS)}) AS fails FROM v GROUP BY ALL) USING (stratum) WHERE level < fails GROUP BY ALL),
+b AS (SELECT r FROM f JOIN m USING (stratum) JOIN p USING (stratum, level) JOIN s USING (r, rule) WHERE share >= cutoff GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.r IS NULL AS kept FROM f LEFT JOIN b USING (r)"""
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS low FROM t GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM documents LEFT JOIN z USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+#: Of pages like those of the given tables: one article of h1, p, b and br; the operator itself reads any page.
+OP8_SQL = r"""
+WITH b AS (SELECT page_id, url, string_split_regex(replace(coalesce(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), ''), '<br>', ' '), '</?(?:p|h1)>') AS blocks FROM pages),
+t AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS lines FROM b),
+j AS (SELECT page_id, url, array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)) AS text FROM t)
+SELECT page_id, url, text, length(text) AS n_chars FROM j"""
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_decontaminate, op4_secrets, op5_quality, op6_toxicity, op7_near_dedup, op8_html_extract, op9_line_dedup, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_quality": _op5_sql(), "op7_near_dedup": OP7_SQL, "op8_html_extract": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -289,13 +289,96 @@ def test_removal(spark):
 # --- the registered queries and the pipeline ---------------------------------------------------------------------------
 
 
+def test_shuffles_in_place_of_broadcasts(spark, monkeypatch):
+    """With nothing small enough to be broadcast the results are the same."""
+    from nearfield.llm import line_dedup, near_dedup, quality
+    from nearfield.llm.queries import QUERIES
+
+    names = ("op5_quality", "op7_near_dedup", "op9_line_dedup")
+    few = {n: sorted(map(str, QUERIES[n](spark, DATA).collect())) for n in names}
+    broadcasts = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcasts)
+    try:
+        spark.conf.set(broadcasts, -1)
+        for module, bound in ((line_dedup, "BROADCAST_ROWS"), (near_dedup, "BROADCAST_ROWS"), (quality, "BROADCAST_STRATA")):
+            monkeypatch.setattr(module, bound, -1)
+        for n in names:
+            out = QUERIES[n](spark, DATA)
+            assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, out.collect())) == few[n]
+    finally:
+        spark.conf.set(broadcasts, before)
+
+
+def test_recall_of_near_duplicates_against_all_pairs(spark):
+    """On a tenth of the given documents by source, all of whose pairs are compared: every link is found, as components are equal."""
+    from nearfield.llm.near_dedup import near_duplicates
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 4000")
+    rows = [(r["doc_id"], r["text"], "s") for r in d.collect()]
+    for limit in (85,):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(d, limit).collect()}
+        assert got == components(rows)
+
+
+def test_registered_sentencepiece(spark):
+    """On whole given texts: the pieces decode to the text, the score is that of the pieces, and the N best are N different segmentations of falling score, none better found by another search."""
+    import numpy as np
+
+    from nearfield.llm.queries import QUERIES
+    from nearfield.llm.sentencepiece_nbest import Encoder, Vocabulary, changed
+
+    v = Vocabulary.load()
+    e = Encoder(v)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["op1_sentencepiece"](spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        if text is None:
+            assert r["ids"] is None
+            continue
+        assert r["exact"]
+        assert r["n_pieces"] == len(r["ids"])
+        assert e.decode(np.array(r["ids"], int)) == text
+        scores = [b["score"] for b in r["n_best"]]
+        assert scores == sorted(scores, reverse=True)
+        made = {tuple(changed(r["ids"], [(c["at"], c["cut"], c["ids"]) for c in b["changes"]])) for b in r["n_best"]}
+        assert len(made) == len(scores)
+        assert all(e.decode(np.array(ids, int)) == text for ids in made)
+    short = [r for r in rows if texts[r["doc_id"]] and len(texts[r["doc_id"]]) < 400]
+    for r in short[:20]:
+        text = texts[r["doc_id"]]
+        want = v.n_best(" " + text, len(r["n_best"]))
+        assert [b["score"] for b in r["n_best"]] == pytest.approx([s for s, _ in want])
+
+
+def test_registered_toxicity(spark):
+    """On whole given texts: a row a document, scores that no other column changes, a text alone scored as among others, and held-out rows told from clean ones."""
+    import zlib
+
+    from nearfield.llm.queries import QUERIES
+    from nearfield.llm.toxicity import score_toxicity, train
+
+    where = "/root/testdata/sf0.1"  # the smaller tables hold a few dozen toxic rows to learn from
+    d, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r["doc_id"]: r for r in QUERIES["op6_toxicity"](spark, where).collect()}
+    assert len(rows) == d.count()
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for i, r in rows.items())
+    model = train(d, labels)
+    other = score_toxicity(d.select((-F.col("doc_id")).alias("doc_id"), "text", F.lit("xx").alias("lang")), model).collect()
+    assert all(r["score"] == pytest.approx(rows[-r["doc_id"]]["score"], abs=1e-6) for r in other)
+    held = [(rows[r["doc_id"]]["predicted"], r["toxic"]) for r in labels.collect() if rows[r["doc_id"]]["held_out"]]
+    assert sum(p == t for p, t in held) / len(held) > 0.95
+
+
 def test_queries_against_sql(spark):
     import duckdb
 
     from nearfield.llm.queries import ORACLE_SQL, QUERIES
 
     d = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels", "pages"):
         d.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     for name, sql in ORACLE_SQL.items():
         a, b = QUERIES[name](spark, DATA).toPandas(), d.sql(sql).df()
