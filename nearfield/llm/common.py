@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from nearfield.shared import new_path, shared_dir
 
 Batches = Iterator[pa.RecordBatch]
+#: Bytes that a writer gathers before it writes them: with as many writers as tasks, and texts in the rows, this is memory.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage is cut, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from nearfield.llm.common import keep_model, kept_model, stored
+from nearfield.llm.common import keep_model, kept_model, released, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -468,7 +468,7 @@ def corpus_examples(docs: DataFrame, text: str = "text", most: int = EXAMPLES) -
             rows = [(kind, zlib.crc32(w.encode("utf-8", "surrogatepass")), w, joined(spans)) for t in b.column(text) if t.is_valid for kind, w, spans in windows_of(t.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["kind", "h", "window", "spans"])
 
-    found = stored(docs.select(text).mapInArrow(run, "kind string, h long, window string, spans string").dropDuplicates(["h", "window"]), "windows")
+    found = stored(docs.select(text).mapInArrow(released(run), "kind string, h long, window string, spans string").dropDuplicates(["h", "window"]), "windows")
     picked = [r for kind in (*KINDS, "none") for r in found.where(F.col("kind") == kind).orderBy("h", "window").limit(most).collect()]  # windows of WINDOW characters
     split = lambda line: [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in line.split(",") if x)]
     return [(r["window"], split(r["spans"])) for r in picked]
@@ -505,4 +505,4 @@ def find_pii(docs: DataFrame, text: str = "text", tagger: Tagger | None = None)
                 lists = [[[{"kind": k, "start": s, "end": e} for k, s, e in pair[i]] for pair in found] for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lists[0], _SPANS), pa.array(lists[1], _SPANS)], names=["doc_id", "base", "spans"])
 
-    return docs.select("doc_id", text).mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("base", _SPANS_TYPE), T.StructField("spans", _SPANS_TYPE)]))
+    return docs.select("doc_id", text).mapInArrow(released(run), T.StructType([docs.schema["doc_id"], T.StructField("base", _SPANS_TYPE), T.StructField("spans", _SPANS_TYPE)]))

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from nearfield.llm.common import released
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 META = "▁"
@@ -360,7 +362,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
                 exact = pa.array([None if m is None else encoder.decode(m[1]) == t for m, t in zip(made, texts, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), ids, pa.array([m and m[0] for m in made], pa.float64()), best, exact], names=[*names, *OUTPUTS])
 
-    return docs.select(*names).mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL(_FIELDS).fields]))
+    return docs.select(*names).mapInArrow(released(run), T.StructType([*kept, *T.StructType.fromDDL(_FIELDS).fields]))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> DataFrame:
@@ -374,4 +376,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> D
             texts = [None if x.as_py() is None else encoder.decode(x.values.to_numpy()) for x in b.column(column)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.StringType())]))
+    return encoded.mapInArrow(released(run), T.StructType([*kept, T.StructField("decoded", T.StringType())]))
