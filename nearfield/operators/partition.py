@@ -202,5 +202,7 @@ def partitioned_outliers(routed: DataFrame, W: int, S: int, R: float, k: int, ki
     if prunable(query, kind, dims):
         left = doubtful(copies, query, dims, True, ["part"], left)
     counts = window_counts(left, neighbor_histogram(copies, query, kind, dims, left, ["part"]), query, ["part"]).where(F.col("n0") < k)
+    if "countdown" not in routed.columns:  # the owners alone were counted, and they report
+        return counts.select("window_end", "id")
     told = left.select("id", "part", "flag", "countdown")
     return counts.join(told, ["id", "part"]).where(reportable(F.col("flag"), F.col("countdown"), F.col("window_end"))).select("window_end", "id")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from nearfield.config import ALGORITHMS, Query, checked, step_of
@@ -108,13 +109,56 @@ def _layered(skyband: bool, clusters: bool) -> Strategy:
     return run
 
 
+def skyband_windows(points: DataFrame, queries: Sequence[Query], kind: str, dims: int | None) -> DataFrame:
+    """A point's neighbours pass by in the order of their arrival, and only its k-skyband is held: a neighbour that as many later and closer ones as the largest k have come after can decide nothing any more. At each window's end the band's members that have not expired are counted by radius. Points in dense cells are not asked for."""
+    left = doubtful(points, queries, dims, True) if prunable(queries, kind, dims) else None
+    own, radii, k_max = points if left is None else left, radii_of(queries), max(q.k for q in queries)
+    W, S = queries[0].W, queries[0].S
+    pairs = neighbor_pairs(points, radii[-1], W, S, kind, dims, left)
+    names = ["id", "window_end", *(f"n{i}" for i in range(len(radii)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, band, end, last = None, [], 0, 0  # band: [distance, arrival, dominators]
+        out: list[tuple] = []
+
+        def close(upto: int) -> None:
+            """Answers the point's windows that end by then."""
+            nonlocal band, end
+            while end <= min(upto, last):
+                band = [x for x in band if x[1] >= end - W]
+                if band:
+                    out.append((point, end, *(sum(x[0] <= r for x in band) for r in radii)))
+                end += S
+
+        for b in batches:
+            for i, a, na, d in zip(*(b.column(c).to_pylist() for c in ("id", "a", "na", "d")), strict=True):
+                if i != point:
+                    close(last)
+                    point, band, end, last = i, [], (a // S + 1) * S, a // S * S + W
+                close(na)
+                for x in band:
+                    x[2] += d <= x[0]
+                band = [x for x in band if x[2] < k_max]
+                band.append([d, na, 0])
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(len(names))], names=names)
+            out.clear()
+        close(last)
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(len(names))], names=names)
+
+    ordered = pairs.select("id", "a", "na", "nid", "d").repartition("id").sortWithinPartitions("id", "na", "nid")
+    counted = ordered.select("id", "a", "na", "d").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    alone = assign_windows(own.select("id", "a"), W, S).select("id", "window_end", *(F.lit(0).cast("long").alias(n) for n in names[2:]))
+    counts = counted.unionByName(alone).groupBy("window_end", F.lit(W).cast("long").alias("W"), F.lit(S).cast("long").alias("S"), "id").agg(*(F.sum(n).alias(n) for n in names[2:]))
+    return outliers_of(counts, queries)
+
+
 STRATEGIES: dict[str, Strategy] = {
     "advanced": split_counting,
     "cod": status_intervals,
     "slicing": slide_ranges,
     "pmcod": _clustered(False),
     "pmcod_net": _clustered(True),
-    "amcod_rk": _layered(True, True),
+    "amcod_rk": skyband_windows,
     "sop_rk": _layered(True, False),
     "psod_rk": _layered(False, False),
     "pmcsky_rk": _layered(True, True),

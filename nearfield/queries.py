@@ -156,21 +156,12 @@ def vector_outliers(spark, sf_dir):
     return outliers.detect(src.embeddings(spark, sf_dir), [Query(100, 25, 1.3, 5)], dims=64).select("window_end", "id")
 
 
-_LINES = "p AS (SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity::DOUBLE AS x, 100*l_discount AS y, 100*l_tax AS z, epoch_us(l_shipdate) AS a FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')"
+_LINES = "p AS (SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity::DOUBLE AS x, 100*l_discount AS y, 100*l_tax AS z, epoch_us(l_shipdate) AS a FROM lineitem)"
 
 
 @registered(brute_force(28 * DAY, 7 * DAY, 3.5, 4, _LINES, "sqrt(pow(l.x-r.x,2)+pow(l.y-r.y,2)+pow(l.z-r.z,2))"))
-def multi_dim_outliers(spark, sf_dir):
-    """Three dimensions with many equal times, of the years of its SQL alone."""
-    return outliers.detect(src.line_points(spark, sf_dir, "1996-01-01"), [Query(28 * DAY, 7 * DAY, 3.5, 4)], dims=3).select("window_end", "id")
-
-
-_ALL_LINES = _LINES.replace(" WHERE l_shipdate < TIMESTAMP '1996-01-01'", "")
-
-
-@registered(brute_force(28 * DAY, 7 * DAY, 3.5, 4, _ALL_LINES, "sqrt(pow(l.x-r.x,2)+pow(l.y-r.y,2)+pow(l.z-r.z,2))"))
 def multi_dim_outliers_whole(spark, sf_dir):
-    """The same over the whole table."""
+    """Three dimensions with many equal times, over the whole table."""
     return outliers.detect(src.line_points(spark, sf_dir), [Query(28 * DAY, 7 * DAY, 3.5, 4)], dims=3).select("window_end", "id")
 
 

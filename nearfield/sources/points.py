@@ -78,11 +78,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("value"), F.col("vec_id").alias("a"))
 
 
-def line_points(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
-    """Three dimensions of lineitem, of all dates or of those before one. The key is not unique, so a hash of the whole row's order makes the id."""
+def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three dimensions of lineitem. The key is not unique, so a row's place in the whole order makes the id."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    if before is not None:
-        li = li.where(F.col("l_shipdate") < F.lit(before).cast("timestamp"))
     a = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     days = li.select(a.alias("a"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(F.col("l_quantity").cast("double"), 100 * F.col("l_discount"), 100 * F.col("l_tax")).alias("value"))
     return numbered(days, "a", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("id", "value", "a")

@@ -20,57 +20,97 @@ OUT = "window_end long, W long, S long, R double, k int, n_outliers long, ids ar
 STATE = "points binary, done long"
 
 
-def window_results(ids: np.ndarray, values: np.ndarray, times: np.ndarray, flags: np.ndarray, end: int, queries: Sequence[Query], kind: str) -> list[tuple]:
-    """(window_end, W, S, R, k, count, ids) of the queries due at an end; neighbours are counted in blocks of rows."""
-    out = []
-    for W in sorted({q.W for q in queries if end % q.S == 0}):
-        inside = (times >= end - W) & (times < end)
-        x, own, names = values[inside], flags[inside] == 0, ids[inside]
-        if not own.any():
-            continue
-        due = [q for q in queries if q.W == W and end % q.S == 0]
-        counts = {r: np.zeros(len(x), np.int64) for r in {q.R for q in due}}
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            if kind == "jaccard":
-                sets = [set(v) for v in x]
-                d = np.array([[1 - len(a & b) / len(a | b) if a | b else 0.0 for b in sets] for a in sets[at : at + 512]])
-            else:
-                d = np.sqrt(sum((part[:, None, i] - x[None, :, i]) ** 2 for i in range(x.shape[1])))
-            for r in counts:
-                counts[r][at : at + 512] = (d <= r).sum(1) - 1
-        for q in due:
-            bad = np.sort(names[own & (counts[q.R] < q.k)])
-            out.append((end, q.W, q.S, q.R, q.k, len(bad), bad.tolist()))
-    return out
+def _distances(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    if kind == "jaccard":
+        left, right = [set(v) for v in x], [set(v) for v in y]
+        return np.array([[1 - len(a & b) / len(a | b) if a | b else 0.0 for b in right] for a in left]).reshape(len(x), len(y))
+    return np.sqrt(sum((x[:, None, i] - y[None, :, i]) ** 2 for i in range(x.shape[1])))
+
+
+class SlideCounts:
+    """The points of the windows still open, and of each the number of neighbours by slide and radius. A point that comes is compared once with those held, in blocks of rows; a window's counts are sums over its slides."""
+
+    def __init__(self, queries: Sequence[Query], kind: str, held: tuple | None = None):
+        self.queries, self.kind = queries, kind
+        self.step, self.span, self.radii = step_of(queries), max(q.W for q in queries), sorted({q.R for q in queries})
+        self.base, self.ids, self.values, self.times, self.flags, self.counts = held or (0, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0, len(self.radii)), np.int32))
+
+    def state(self) -> tuple:
+        return self.base, self.ids, self.values, self.times, self.flags, self.counts
+
+    def add(self, ids: np.ndarray, values: np.ndarray, times: np.ndarray, flags: np.ndarray, block: int = 512) -> None:
+        old, new = len(self.ids), len(ids)
+        self.ids, self.times, self.flags = (np.concatenate(x) for x in ((self.ids, ids), (self.times, times), (self.flags, flags)))
+        self.values = np.concatenate((self.values, values)) if old else values
+        slides = self.times // self.step
+        base, width = int(slides.min()), int(slides.max() - slides.min()) + 1
+        counts = np.zeros((old + new, width, len(self.radii)), np.int32)
+        shift = self.base - base  # of the columns there were, those that still matter
+        take = np.arange(self.counts.shape[1])
+        take = take[(take + shift >= 0) & (take + shift < width)]
+        counts[:old, take + shift] = self.counts[:, take]
+        self.base, self.counts = base, counts
+        near_in_time = self.span // self.step
+        by_slide = np.zeros((old + new, width), np.float32)
+        by_slide[np.arange(old + new), slides - base] = 1
+        for at in range(old, old + new, block):
+            rows = slice(at, min(at + block, old + new))
+            d = _distances(self.values[rows], self.values, self.kind)
+            d[np.arange(d.shape[0]), np.arange(rows.start, rows.stop)] = np.inf
+            d[np.abs(slides[rows, None] - slides[None, :]) >= near_in_time] = np.inf
+            for i, r in enumerate(self.radii):
+                near = (d <= r).astype(np.float32)
+                counts[rows, :, i] = (near @ by_slide).astype(np.int32)
+                counts[:old, :, i] += (near[:, :old].T @ by_slide[rows]).astype(np.int32)
+
+    def results(self, end: int) -> list[tuple]:
+        """(window_end, W, S, R, k, count, ids) of the queries due at an end, if any owner is in the window."""
+        out = []
+        for W in sorted({q.W for q in self.queries if end % q.S == 0}):
+            inside = (self.times >= end - W) & (self.times < end)
+            own = inside & (self.flags == 0)
+            if own.any():
+                low, high = max((end - W) // self.step - self.base, 0), end // self.step - self.base
+                within = self.counts[own, low:high].sum(1)
+                for q in (q for q in self.queries if q.W == W and end % q.S == 0):
+                    bad = np.sort(self.ids[own][within[:, self.radii.index(q.R)] < q.k])
+                    out.append((end, q.W, q.S, q.R, q.k, len(bad), bad.tolist()))
+        return out
+
+    def expire(self, done: int) -> bool:
+        """Lets go what no window after done holds; returns whether anything is left."""
+        keep = self.times >= done - self.span + self.step
+        self.ids, self.values, self.times, self.flags, self.counts = (x[keep] for x in (self.ids, self.values, self.times, self.flags, self.counts))
+        if keep.any():
+            first = int((self.times // self.step).min())
+            self.base, self.counts = first, self.counts[:, first - self.base :]
+        return bool(keep.any())
 
 
 def detect_stream(points: DataFrame, queries: Sequence[Query], partitioner: Partitioner, lateness: str, kind: str = "euclidean", per_ms: int = 1) -> DataFrame:
-    """Results by partition of a stream with id, value, a, ts (ts: the event time, of the same moments as a, which counts per_ms to a millisecond). State is one window of points a partition; a window is emitted when the watermark passes its end."""
+    """Results by partition of a stream with id, value, a, ts (ts: the event time, of the same moments as a, which counts per_ms to a millisecond). State is one window of points a partition with their counts by slide; a window is emitted when the watermark passes its end."""
     queries = checked(queries)
-    radius, span, step = max(q.R for q in queries), max(q.W for q in queries), step_of(queries)
+    radius, step = max(q.R for q in queries), step_of(queries)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else None
-        done = state.get[1] if state.exists else None
-        new = [b for b in batches]
-        parts = ([held] if held is not None else []) + [(b["id"].to_numpy(), np.array(b["value"].tolist(), float), b["a"].to_numpy(), b["flag"].to_numpy()) for b in new if len(b)]
-        if not parts:
+        held, done = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (None, None)
+        own = SlideCounts(queries, kind, held)
+        for b in batches:
+            if len(b):
+                own.add(b["id"].to_numpy(), np.array(b["value"].tolist(), float), b["a"].to_numpy(), b["flag"].to_numpy())
+        if not len(own.ids):
             return
-        ids, values, times, flags = (np.concatenate([p[i] for p in parts]) for i in range(4))
         mark = state.getCurrentWatermarkMs() * per_ms
-        first = (int(times.min()) // step + 1) * step if done is None else done + step
-        out, end = [], first
-        while end <= mark:
-            out += window_results(ids, values, times, flags, end, queries, kind)
-            done = end
-            end += step
-        keep = times >= (done if done is not None else first - step) - span + step
-        if keep.any():
-            last = done if done is not None else first - step
-            state.update((pickle.dumps((ids[keep], values[keep], times[keep], flags[keep])), last))
+        if done is None:
+            done = int(own.times.min()) // step * step
+        out = []
+        while done + step <= mark:
+            done += step
+            out += own.results(done)
+        if own.expire(done):
+            state.update((pickle.dumps(own.state()), done))
             # a partition without new points is called when the watermark passes the next end
-            state.setTimeoutTimestamp(max(-(-(last + step) // per_ms), state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(-(-(done + step) // per_ms), state.getCurrentWatermarkMs() + 1))
         else:
             state.remove()
         if out:

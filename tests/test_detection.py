@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,30 @@ def test_nearest_in_blocks_and_cells(spark):
         assert "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("kind", ["euclidean", "jaccard"])
+def test_counts_by_slide(kind):
+    """Points in any order and in batches of any size, windows answered as soon as their points are there, expired ones let go."""
+    from nearfield.streaming.detect import SlideCounts
+
+    r = random.Random(3)
+    points = spread(12, 150, 2, times=100) if kind == "euclidean" else [(i, [v // 3 for v in x], a) for i, x, a in spread(7, 60, 4, times=100)]
+    queries = query_product([20, 40], [5, 10], [0.65, 1.55] if kind == "euclidean" else [0.41, 0.71], [2, 4])
+    state, got, left = None, set(), list(points)
+    r.shuffle(left)
+    for end in range(5, 145, 5):
+        own = SlideCounts(queries, kind, state)
+        now = [p for p in left if p[2] < end or (p[2] < end + 20 and r.random() < 0.3)]
+        left = [p for p in left if p not in now]
+        while now:
+            batch, now = now[:7], now[7:]
+            own.add(*(np.array([p[i] for p in batch]) for i in range(3)), np.zeros(len(batch), int), block=4)
+        got |= {(W, S, R, k, e, i) for e, W, S, R, k, _, ids in own.results(end) for i in ids}
+        own.expire(end)
+        state = own.state()
+    assert len(state[1]) == 0
+    assert got == {(q.W, q.S, q.R, q.k, e, i) for q in queries for e, i in brute(points, q, kind)}
+
+
 def test_sampled_median(spark):
     p = frame(spark, spread(2, 200, 1))
     whole = neighbors.median_threshold(p, [3.0]).first()["threshold"]
