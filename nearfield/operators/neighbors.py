@@ -236,4 +236,4 @@ def stride_sample(points: DataFrame, m: int) -> DataFrame:
 
 def random_sample(points: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n points without replacement, the same for the same seed."""
-    return points.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(n)
+    return points.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), "id").limit(n)

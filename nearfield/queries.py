@@ -273,7 +273,7 @@ def stride_sample(spark, sf_dir):
     return neighbors.stride_sample(src.events(spark, sf_dir), 100)
 
 
-@registered()
+@registered("SELECT event_id AS id FROM events ORDER BY md5('1-' || event_id), event_id LIMIT 100")
 def random_sample(spark, sf_dir):
     """A hundred points by a seeded hash."""
     return neighbors.random_sample(src.events(spark, sf_dir), 100).select("id")
@@ -486,14 +486,28 @@ def sample_reader(spark, sf_dir):
     return src.sample_head(src.events(spark, sf_dir), 100).select("id")
 
 
-@registered()
+def _generated(kind: str, n: int) -> str:
+    """The mixtures of a generator, with seed 1."""
+    picked = lambda salt: f"('0x' || substr(md5(i || '-{salt}'), 1, 7))::BIGINT / 268435456.0::DOUBLE"
+    columns = []
+    for d, (name, parts) in enumerate(zip("xyz", src.GENERATORS[kind], strict=False)):
+        total, upto, cases = sum(w for *_, w in parts), 0.0, ""
+        for base, width, weight in parts:
+            upto += weight / total
+            cases += f" WHEN {picked(1000 + 2 * d)} < {upto}::DOUBLE THEN {base}::DOUBLE + {picked(1001 + 2 * d)} * {width}::DOUBLE"
+        base, width, _ = parts[-1]
+        columns.append(f"round(CASE{cases} ELSE {base}::DOUBLE + {picked(1001 + 2 * d)} * {width}::DOUBLE END, 2) + 0.0::DOUBLE AS {name}")
+    return f"SELECT i AS id, {', '.join(columns)}, i AS a FROM range({n}) t(i)"
+
+
+@registered(_generated("stk", 10_000))
 def generator_stk(spark, sf_dir):
-    return src.generated(spark, "stk", 10_000)
+    return src.generated(spark, "stk", 10_000).select("id", F.col("value")[0].alias("x"), "a")
 
 
-@registered()
+@registered(_generated("tao", 10_000))
 def generator_tao(spark, sf_dir):
-    return src.generated(spark, "tao", 10_000)
+    return src.generated(spark, "tao", 10_000).select("id", *(F.col("value")[i].alias(c) for i, c in enumerate("xyz")), "a")
 
 
 @registered(brute_force(W1, S1, R1, K1))

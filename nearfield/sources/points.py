@@ -130,7 +130,8 @@ def mixture(parts: Sequence[tuple[float, float, float]], pick: Column, within: C
 
 def _uniform(id_: Column, salt: int) -> Column:
     """In [0, 1), from the id and a salt, so that a row is the same on any cluster."""
-    return F.pmod(F.xxhash64(id_, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    digits = F.substring(F.md5(F.concat(id_.cast("string"), F.lit(f"-{salt}"))), 1, 7)
+    return F.conv(digits, 16, 10).cast("long") / float(1 << 28)
 
 
 def generate(ids: DataFrame, kind: str, seed: int = 1, start: int = 0) -> DataFrame:
