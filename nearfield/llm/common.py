@@ -49,7 +49,7 @@ def keep_model(spark: SparkSession, name: str, model: dict[str, np.ndarray]) ->
     """Leaves a model of bounded size in the shared folder, for later applications too."""
     made = io.BytesIO()
     np.savez(made, **model)
-    spark.createDataFrame([(bytearray(made.getvalue()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(_model_path(spark, name))
+    spark.createDataFrame([(bytearray(made.getvalue()),)], "model binary").coalesce(1).write.mode("append").parquet(_model_path(spark, name))
 
 
 def aside(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, list[Column]]:
