@@ -26,6 +26,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,12 +156,16 @@ class Vocabulary:
     # --- many segments side by side ----------------------------------------------------------------------------------
 
     def best_and_loss(self, segments: list[str]) -> list[tuple[float, float, tuple[int, ...]]]:
-        """(score, loss of the second best or infinity, ids) of short segments: the same Viterbi passes, forward and backward, on all of them at once."""
-        n, steps = len(segments), max(map(len, segments))
-        size = np.array([len(s) for s in segments])
-        chars = np.zeros((n, steps), np.int64)
-        for k, s in enumerate(segments):
-            chars[k, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        """(score, loss of the second best or infinity, ids) of short segments."""
+        total, loss, flat, count = self.best_arrays(segments)
+        ends = np.cumsum(count)
+        return [(float(t), float(x), tuple(flat[e - c : e].tolist())) for t, x, c, e in zip(total, loss, count, ends, strict=True)]
+
+    def best_arrays(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, losses of the second best (or infinity), ids end to end and their numbers: the same Viterbi passes, forward and backward, on all segments at once."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        n, steps = len(segments), int(size.max())
+        chars = np.frombuffer("".join([s.ljust(steps, "\0") for s in segments]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, steps).astype(np.int64)
         alpha = np.full((n, steps + 1), -np.inf)
         alpha[:, 0] = 0
         back = np.zeros((n, steps + 1), np.int64)
@@ -197,15 +202,12 @@ class Vocabulary:
             beta[own, i] = np.maximum(beta[own, i], w + beta[own, j])
         total = alpha[np.arange(n), size]
         # the best path, from the end
-        on_path: list[list[int]] = [[] for _ in segments]
         taken = np.zeros((n, steps + 1), np.int64)
         node = size.copy()
         moving = np.flatnonzero(node > 0)
         while len(moving):
             e = back[moving, node[moving]]
             taken[moving, node[moving]] = e
-            for k, x in zip(moving.tolist(), e.tolist(), strict=True):
-                on_path[k].append(x)
             node[moving] = (e >> 32) & 0xFF
             moving = moving[node[moving] > 0]
         loss = np.full(n, np.inf)
@@ -213,14 +215,18 @@ class Vocabulary:
             off = taken[own, j] != _coded(i, code)
             own, w = own[off], w[off]
             loss[own] = np.minimum(loss[own], total[own] - (alpha[own, i] + w + beta[own, j]))
-        out = []
-        for k, path in enumerate(on_path):
-            ids: list[int] = []
-            for e in reversed(path):
-                code = (e & 0xFFFFFFFF) - (1 << 31)
-                ids += [code] if code >= 0 else [self.bytes_at[b] for b in chr(-code - 1).encode("utf-8", "surrogatepass")]
-            out.append((float(total[k]), max(0.0, float(loss[k])), tuple(ids)))
-        return out
+        # row by row, ends in order: the ids of the paths, one after the other
+        row, end = np.nonzero(taken)
+        flat = (taken[row, end] & 0xFFFFFFFF) - (1 << 31)
+        spelt = np.flatnonzero(flat < 0)
+        if len(spelt):  # characters that are no pieces, as bytes
+            raw = [[self.bytes_at[b] for b in chr(-c - 1).encode("utf-8", "surrogatepass")] for c in flat[spelt].tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[spelt] = [len(x) for x in raw]
+            own = np.repeat(flat < 0, times)
+            flat, row = np.repeat(flat, times), np.repeat(row, times)
+            flat[own] = [b for x in raw for b in x]
+        return total, np.maximum(loss, 0.0), flat.astype(np.int32), np.bincount(row, minlength=n)
 
     @staticmethod
     def _enter(alpha, back, edges, i: int, j: int, own: np.ndarray, w: np.ndarray, code: np.ndarray) -> None:
@@ -251,23 +257,17 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         """Searches segments that are not known yet."""
-        got: dict[str, tuple[float, float, tuple[int, ...]]] = {}
-        short = sorted((s for s in new if len(s) <= SHORT), key=len)
-        for at in range(0, len(short), 4000):
-            part = short[at : at + 4000]
-            got.update(zip(part, self.v.best_and_loss(part), strict=True))
-        for s in new:
-            if len(s) > SHORT:
-                two = self.v.n_best(s, 2)
-                got[s] = (two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf, two[0][1])
-        for s in got:
-            self.known[s] = len(self.known)
-        counts = np.array([len(g[2]) for g in got.values()], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.score = np.concatenate([self.score, [g[0] for g in got.values()]])
-        self.loss = np.concatenate([self.loss, [g[1] for g in got.values()]])
-        self.flat = np.concatenate([self.flat, np.array([k for g in got.values() for k in g[2]], np.int32)])
+        short, long = sorted((s for s in new if len(s) <= SHORT), key=len), [s for s in new if len(s) > SHORT]
+        parts = [self.v.best_arrays(short[at : at + 4000]) for at in range(0, len(short), 4000)]
+        for s in long:
+            two = self.v.n_best(s, 2)
+            loss = two[0][0] - two[1][0] if len(two) > 1 else math.inf
+            parts.append((np.array([two[0][0]]), np.array([loss]), np.array(two[0][1], np.int32), np.array([len(two[0][1])])))
+        self.known.update(zip([*short, *long], range(len(self.known), len(self.known) + len(new)), strict=True))
+        score, loss, flat, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.score, self.loss, self.flat = np.concatenate([self.score, score]), np.concatenate([self.loss, loss]), np.concatenate([self.flat, flat])
 
     def segments(self, text: str) -> list[str]:
         return self.v.pattern.findall(" " + text) if text else []
@@ -306,9 +306,9 @@ class Encoder:
         if len(self.known) > MOST:
             self.clear()
         parts = [self.segments(t) if t is not None else [] for t in texts]
-        new = set().union(*map(set, parts)) - self.known.keys()
+        new = set(chain.from_iterable(parts)).difference(self.known)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         out: list = []
         for t, own in zip(texts, parts, strict=True):
             if t is None:
