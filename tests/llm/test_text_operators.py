@@ -917,3 +917,31 @@ def test_encode_frames(spark, vocabulary):
     assert rows[0]["ids"] is None
     assert rows[1]["ids"] == []
     assert encode(docs(spark, []), vocabulary).count() == 0
+
+
+def test_toxicity_is_learnt_from_all_labelled_rows(spark):
+    """A word that only rows beyond the first ones mark, in texts beyond the bound too, is learnt; the same rows make the same model; no held-out row is learnt from."""
+    import numpy as np
+
+    from nearfield.llm import toxicity
+
+    r = random.Random(5)
+    some = lambda: " ".join("".join(r.choice("aeioubcdmnst") for _ in range(5)) for _ in range(12))
+    texts = [some() for _ in range(2400)]
+    d = docs(spark, texts)
+    turns = {x["doc_id"]: x["turn"] for x in d.select("doc_id", F.xxhash64("doc_id").alias("turn")).collect()}
+    order = sorted(turns, key=turns.get)
+    toxic = {i: int(n % 3 == 0) for n, i in enumerate(order)}
+    for n, i in enumerate(order):  # the later half of the toxic rows has a word of its own
+        if toxic[i]:
+            texts[i] += " grumblo" if n < 600 else " zappo"
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, labels, per_label=60, learner_rows=600)
+    rows = {x["doc_id"]: x["score"] for x in toxicity.score_toxicity(d, model).collect()}
+    late = [i for n, i in enumerate(order) if n >= 600 and zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((rows[i] >= 0.5) == bool(toxic[i]) for i in late) / len(late) > 0.95
+    again = toxicity.train(d.repartition(7), labels, per_label=60, learner_rows=600)
+    assert np.array_equal(model.table, again.table) and (model.scale, model.shift, model.thresholds) == (again.scale, again.shift, again.thresholds)
+    turned = labels.where(~toxicity.held_out("doc_id")).unionByName(labels.where(toxicity.held_out("doc_id")).selectExpr("doc_id", "quality", "1 - toxic as toxic"))
+    assert np.array_equal(model.table, toxicity.train(d, turned, per_label=60, learner_rows=600).table)
